@@ -52,11 +52,13 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
+        if once:
+            batches = (b.append_column("__text", b.column(column)) for b in batches)
         for batch in by_bytes(batches, "__text"):
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *work(batch)], [*names, *(f.name for f in fields)])
 
-    # the text travels once: under its working name if it isn't kept
-    sent = df.select(*[f"`{n}`" for n in names if n != column], df[column].alias("__text"), *([df[column]] if column in names else []))
+    once = column in names  # the text travels once: under its working name if it isn't kept
+    sent = df.select(*[df[n] for n in names], *([] if once else [df[column].alias("__text")]))
     return sent.mapInArrow(run, schema)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from tallyloom.llm.byte_bpe import op2_byte_bpe
+from tallyloom.llm.decontaminate import op1_decontaminate
 from tallyloom.llm.packed_tokens import op3_packed_tokens
+from tallyloom.llm.simhash import op8_simhash
 from tallyloom.llm.token_counts import op5_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_packed_tokens, op5_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op3_packed_tokens, op5_token_counts, op8_simhash)}
 ORACLES: dict[str, str] = {}
