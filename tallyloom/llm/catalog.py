@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from tallyloom.llm import chat
 from tallyloom.llm.byte_bpe import op2_byte_bpe
+from tallyloom.llm.chat import op10_chat
 from tallyloom.llm.decontaminate import op1_decontaminate
 from tallyloom.llm.packed_tokens import op3_packed_tokens
 from tallyloom.llm.simhash import op8_simhash
 from tallyloom.llm.token_counts import op5_token_counts
+from tallyloom.llm.warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op3_packed_tokens, op5_token_counts, op8_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op3_packed_tokens, op4_warc, op5_token_counts, op8_simhash, op10_chat)}
+ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE}
