@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tallyloom.llm import chat
 from tallyloom.llm.byte_bpe import op2_byte_bpe
 from tallyloom.llm.chat import op10_chat
 from tallyloom.llm.decontaminate import op1_decontaminate
+from tallyloom.llm.language import op6_language
+from tallyloom.llm.media import op7_media
 from tallyloom.llm.packed_tokens import op3_packed_tokens
+from tallyloom.llm.pii import op9_pii
 from tallyloom.llm.simhash import op8_simhash
 from tallyloom.llm.token_counts import op5_token_counts
 from tallyloom.llm.warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op3_packed_tokens, op4_warc, op5_token_counts, op8_simhash, op10_chat)}
-ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op3_packed_tokens, op4_warc, op5_token_counts, op6_language, op7_media, op8_simhash, op9_pii, op10_chat)}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLES = {"op10_chat": chat.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
