@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tallyloom.plans import forecasting, learning, metrics, panels, prep, relational, segments, serving, stream  # noqa: F401  these register
+from tallyloom.plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "wmape_by_period"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
