@@ -1 +1,97 @@
-"""Filled below."""
+"""Learned models, clusters and searches. Their results depend on the fitted models, so there is no SQL for them; tests check them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.operators import learned as L
+from tallyloom.operators import search as R
+from tallyloom.operators import segment as G
+from tallyloom.operators import stats as S
+from tallyloom.operators import univariate as U
+from tallyloom.operators.panel import fraction_split
+from tallyloom.plans.panels import dense, rounded, split
+from tallyloom.plans.registry import query
+from tallyloom.sources.retail import table
+
+
+@query()
+def kmeans_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series in five clusters by their statistics, with mean and median profiles."""
+    panel = dense(spark, sf_dir)
+    rows = S.level(panel).join(S.intermittency(panel).select("sku", "adi", F.coalesce("cv2", F.lit(0.0)).alias("cv2")), "sku")
+    columns = ["total_sales", "cv", "nonzero_rate", "avg_gap", "adi", "cv2"]
+    labelled, _ = G.kmeans(G.standardized(rows, columns), columns, 5, starts=3)
+    return rounded(G.shifted_profiles(rows.join(labelled.select("sku", "cluster_kmeans"), "sku"), "cluster_kmeans", columns))
+
+
+@query()
+def gmm_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BIC of Gaussian mixtures over the first dimensions of the embeddings, by number of parts."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(4)]).persist()
+    found = [(k, float(G.gaussian_mixture(rows, [f"e{i}" for i in range(4)], k)[1])) for k in (2, 3, 4)]
+    rows.unpersist()
+    return spark.createDataFrame(found, "k int, bic double")
+
+
+@query()
+def cluster_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjusted Rand index between k-means labellings of the embeddings from different seeds."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(4)])
+    columns = [f"e{i}" for i in range(4)]
+    labels = [G.kmeans(rows, columns, 4, starts=1, seed=s)[0].select("vec_id", F.col("cluster_kmeans").alias(f"s{s}")) for s in (1, 2, 3)]
+    both = labels[0].join(labels[1], "vec_id").join(labels[2], "vec_id")
+    out = None
+    for a, b in ((1, 2), (1, 3), (2, 3)):
+        one = G.rand_index(both, f"s{a}", f"s{b}").select(F.lit(a).alias("seed_i"), F.lit(b).alias("seed_j"), F.round("ari", 6).alias("ari"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def two_stage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive forecasts of the last days by occurrence and size trees."""
+    train, test = split(spark, sf_dir)
+    model = L.fit_two_stage(L.training_rows(train), tau=0.2, anchor=0.4)
+    return L.recursive(train, test, model)
+
+
+@query()
+def global_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive forecasts by one weighted regression over all series."""
+    train, test = split(spark, sf_dir)
+    model = L.fit_global(L.weight(L.training_rows(train)), weight="weight")
+    return L.recursive(train, test, model, raw_state=True)
+
+
+@query()
+def zero_inflated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive forecasts of demand in hundreds by the zero-inflated count model."""
+    train, test = split(spark, sf_dir)
+    hundreds = lambda df: df.withColumn("y", F.greatest(F.col("y") / 100, F.lit(0.0)))
+    model = L.fit_counts(L.training_rows(hundreds(train)), cap=2000.0)
+    return L.recursive(hundreds(train), hundreds(test), model)
+
+
+@query()
+def tsb_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all smoothing settings on the last fifth of the training days."""
+    parts = fraction_split(split(spark, sf_dir)[0])
+    candidates = R.grid(spark, {"alpha_p": [0.05, 0.1, 0.2], "alpha_d": [0.1, 0.2, 0.4]})
+    return R.search_tsb(parts.where("NOT is_valid").drop("is_valid"), parts.where("is_valid").drop("is_valid"), candidates)
+
+
+@query()
+def gate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all gates over one scored validation table."""
+    rows = fraction_split(L.training_rows(split(spark, sf_dir)[0]))
+    model = L.fit_two_stage(rows.where("NOT is_valid"), trees=8, tau=0.0)
+    return R.search_gate(L.score(rows.where("is_valid").drop("is_valid"), model), [0.1, 0.25, 0.4], [0.8, 0.9, 1.0])
+
+
+@query()
+def registered_forecaster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own function as a forecaster: the median of the last 28 days."""
+    train = split(spark, sf_dir)[0]
+    return U.apply_forecaster(train, lambda values, horizon: [float(sorted(values[-28:])[len(values[-28:]) // 2])] * horizon, 14)
