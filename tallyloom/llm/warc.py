@@ -7,7 +7,7 @@ commits after all tasks, and readers open only files that the manifest lists. A
 same names.
 
 Of rows with equal payloads of at least MIN_REVISIT bytes, that with the largest key is a response record, the others are revisit
-records of it, without the payload. The groups are found by an aggregation of digests, and only digests that occur twice are joined.
+records of it, without the payload. The groups are found by an aggregation of digests; keys and digests alone are joined to them.
 
 Defined results: a null payload is written as an empty one. Rows with a null key sort first, are responses unless a row with a key has
 their payload, and are never revisited. Repeated rows of the largest key are all responses. A null url is written as an empty one; line
@@ -107,13 +107,12 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payl
     spark = df.sparkSession
     ship(spark)
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.alias("payload"))
-    marked = df.select(F.col(key).cast("long").alias("key"), F.sha1(body).alias("digest"), F.octet_length(body).alias("n")).where(F.col("n") >= min_revisit)
-    groups = marked.groupBy("digest").agg(F.max("key").alias("target"), F.count("*").alias("n")).where("n > 1 AND target IS NOT NULL").select("digest", "target")
-    # smaller payloads have no group; their key stands in, so that they don't meet in one task as nulls would
-    digest = F.when(F.octet_length("payload") >= min_revisit, F.sha1("payload")).otherwise(F.concat(F.lit("-"), F.xxhash64("key", "url").cast("string")))
-    told = rows.withColumn("digest", digest).join(groups, "digest", "left")
-    refers = F.when(F.col("key").isNull() | (F.col("key") < F.col("target")), F.col("target"))
+    about_ = df.select(F.col(key).cast("long").alias("key"), F.sha1(body).alias("digest"), F.octet_length(body).alias("n")).where(F.col("n") >= min_revisit).drop("n")
+    groups = about_.groupBy("digest").agg(F.max("key").alias("target"), F.count("*").alias("n")).where("n > 1 AND target IS NOT NULL").select("digest", "target")
+    revisits = about_.join(groups, "digest").where("key IS NULL OR key < target").select("key", "digest", "target").distinct()
+    # a revisit's target travels as a row of its own, sorted right before the pages of its key and digest: payloads are shuffled once
+    pages = df.select(F.col(key).cast("long").alias("key"), F.sha1(body).alias("digest"), F.lit(None).cast("long").alias("target"), F.col(url).alias("url"), body.alias("payload"))
+    rows = pages.unionByName(revisits, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, out = TaskContext.get().partitionId(), 0, None
@@ -124,9 +123,13 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payl
             files.commit(system, base, temp, name)
             return pa.RecordBatch.from_pylist([{"file": name, **about}], out_schema)
 
+        told: tuple = ()
         for batch in batches:
-            for row in zip(*(c.to_pylist() if n != "payload" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)), strict=True):
-                own_key, own_url, data, target = row
+            for own_key, digest, target, own_url, data in zip(*(c.to_pylist() if n != "payload" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)), strict=True):
+                if target is not None:
+                    told = own_key, digest, target
+                    continue
+                target = told[2] if told[:2] == (own_key, digest) else None
                 if out is None:
                     name = f"pages-{part:06d}-{k:05d}.warc.gz"
                     temp = files.temporary(name)
@@ -142,8 +145,7 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payl
             yield close()
 
     out_schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())])
-    order = ["key", "digest", F.xxhash64("payload", "url")]
-    placed = told.withColumn("refers_to", refers).repartitionByRange(*order).sortWithinPartitions(*order).select("key", "url", "payload", "refers_to")
+    placed = rows.repartitionByRange("key", "digest").sortWithinPartitions("key", "digest", F.desc_nulls_last("target"), "url")
     return materialize(placed.mapInArrow(run, "file string, records long, bytes long, first_key long, last_key long"), "warc-manifest")
 
 
