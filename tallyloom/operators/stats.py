@@ -46,11 +46,13 @@ def demand_summary(panel: DataFrame) -> DataFrame:
 def autocorrelation(panel: DataFrame, lags: tuple[int, ...] = (1, 7, 14, 30)) -> DataFrame:
     """Pearson correlation with the lagged series over their overlap: 0 for constants, null where there is no overlap."""
     rows = panel.withColumns({f"__l{k}": F.lag("y", k).over(by()) for k in lags})
-    constant = F.stddev_pop("y") == 0
 
     def one(k: int) -> Column:
-        both = F.when(F.col(f"__l{k}").isNotNull(), F.col("y"))
-        return F.when(F.count("*") <= k, None).when(constant | (F.stddev_pop(both) == 0) | (F.stddev_pop(f"__l{k}") == 0), 0.0).otherwise(F.corr(both, F.col(f"__l{k}"))).alias(f"acf_{k}")
+        lagged = F.col(f"__l{k}")
+        both = F.when(lagged.isNotNull(), F.col("y"))
+        # corr() fails on constants; the quotient is undefined there, and 0
+        corr = F.coalesce(F.try_divide(F.covar_pop(both, lagged), F.stddev_pop(both) * F.stddev_pop(lagged)), F.lit(0.0))
+        return F.when(F.count("*") > k, corr).alias(f"acf_{k}")
 
     return rows.groupBy("sku").agg(*[one(k) for k in lags])
 
