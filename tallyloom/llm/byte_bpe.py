@@ -25,6 +25,8 @@ from tallyloom.llm.arrowtext import chunk_starts, flat, map_texts, row_sums, uni
 from tallyloom.llm.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Bytes of text or ids in a batch.
+BATCH = 8_000_000
 
 
 @functools.cache
@@ -44,53 +46,90 @@ def token_bytes(path: str, pattern: str) -> pa.BinaryArray:
     return pa.array(list(known.values()), pa.binary())
 
 
+class Codec:
+    """Encodes and decodes batches as flat arrays."""
+
+    def __init__(self, ranks: str, pattern: str) -> None:
+        self.ordinary, self.table = encoding(ranks, pattern).encode_ordinary, token_bytes(ranks, pattern)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids by text, and all ids."""
+        data, offsets = flat(texts)
+        starts = chunk_starts(data, offsets)
+        at, chunks = unique_chunks(data, starts)
+        lists = [self.ordinary(c.decode()) for c in chunks.to_pylist()]
+        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        ragged = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(ids))
+        return row_sums(sizes[at], starts, offsets), ragged.take(pa.array(at)).flatten().to_numpy() if len(at) else ids
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+        """The bytes of each row; ends: of the rows in ids, from 0 on."""
+        taken = self.table.take(pa.array(ids.astype(np.int32, copy=False)))
+        if taken.null_count:
+            raise ValueError("an id is not in the rank file")
+        out, places = flat(taken)
+        at = places[ends].astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(out)])
+
+
+def _binary(ids: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4", copy=False))])
+
+
+IDS, N_TOKENS, DECODED = T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.BinaryType())
+
+
 def encode(df: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """df with ids (binary, little-endian unsigned 32-bit) and n_tokens."""
 
     def make():
-        ordinary = encoding(ranks, pattern).encode_ordinary
+        codec = Codec(ranks, pattern)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            data, offsets = flat(batch.column("__text"))
-            starts = chunk_starts(data, offsets)
-            at, chunks = unique_chunks(data, starts)
-            lists = [ordinary(c.decode()) for c in chunks.to_pylist()]
-            sizes = np.fromiter(map(len, lists), np.int32, len(lists))
-            ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-            ragged = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(ids))
-            out = ragged.take(pa.array(at)).flatten().to_numpy() if len(at) else ids
-            n = row_sums(sizes[at], starts, offsets)
-            ends = np.concatenate([[0], np.cumsum(n * 4)]).astype(np.int32)
-            return [pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(out.astype("<u4", copy=False))]), pa.array(n, pa.int64())]
+            n, ids = codec.encode(batch.column("__text"))
+            return [_binary(ids, np.concatenate([[0], np.cumsum(n)])), pa.array(n, pa.int64())]
 
         return work
 
-    return map_texts(df, text, make, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    return map_texts(df, text, make, [IDS, N_TOKENS], limit=BATCH)
 
 
 def decode(df: DataFrame, ids: str = "ids", ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """df with decoded (binary): the bytes of the tokens back to back."""
 
     def make():
-        table_ = token_bytes(ranks, pattern)
+        codec = Codec(ranks, pattern)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             data, offsets = flat(batch.column("__text"))
-            taken = table_.take(pa.array(data.view("<u4").astype(np.int32)))
-            if taken.null_count:
-                raise ValueError("an id is not in the rank file")
-            out, ends = flat(taken)
-            at = ends[offsets // 4].astype(np.int32)
-            return [pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(out)])]
+            return [codec.decode(data.view("<u4"), offsets // 4)]
+
+        return work
+
+    return map_texts(df, ids, make, [DECODED], limit=BATCH)
+
+
+def round_trip(df: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN, keep: list[str] | None = None) -> DataFrame:
+    """df with ids, n_tokens and decoded, which is made of the packed ids: one pass, so one Python worker per task."""
+
+    def make():
+        codec = Codec(ranks, pattern)
+
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            n, ids = codec.encode(batch.column("__text"))
+            ends = np.concatenate([[0], np.cumsum(n)])
+            packed = _binary(ids, ends)
+            return [packed, pa.array(n, pa.int64()), codec.decode(flat(packed)[0].view("<u4"), ends)]
 
         return work
 
-    return map_texts(df, ids, make, [T.StructField("decoded", T.BinaryType())])
+    return map_texts(df, text, make, [IDS, N_TOKENS, DECODED], keep, limit=BATCH)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the bytes that they decode to."""
-    coded = decode(encode(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "ids"))
+    coded = round_trip(docs.select("doc_id", "text"), keep=["doc_id"])
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

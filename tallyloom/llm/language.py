@@ -29,12 +29,14 @@ from tallyloom.llm.arrowtext import flat, map_texts
 from tallyloom.llm.decontaminate import ragged
 from tallyloom.llm.tables import table
 
-DOCS_PER_LANGUAGE = 250
+DOCS_PER_LANGUAGE = 120
 SAMPLE_BYTES = 30_000
 BUCKETS = 1 << 16
 CHAIN = 64
 EPOCHS = 30
 UND = "und"
+#: Bytes of text in a batch: chains take about fifteen times as much memory.
+BATCH = 4_000_000
 #: Distinct words whose features are in memory at once.
 BLOCK = 40_000
 
@@ -269,7 +271,7 @@ def identify(docs: DataFrame, model: Crf | None, text: str = "text", keep: list[
 
         return work
 
-    return map_texts(docs, text, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], keep)
+    return map_texts(docs, text, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], keep, limit=BATCH)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
