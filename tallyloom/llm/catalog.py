@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyloom.llm import chat
+from tallyloom.llm import chat, decontaminate, warc
 from tallyloom.llm.byte_bpe import op2_byte_bpe
 from tallyloom.llm.chat import op10_chat
 from tallyloom.llm.decontaminate import op1_decontaminate
@@ -17,4 +17,4 @@ from tallyloom.llm.warc import op4_warc
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op3_packed_tokens, op4_warc, op5_token_counts, op6_language, op7_media, op8_simhash, op9_pii, op10_chat)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES = {"op10_chat": chat.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op4_warc": warc.ORACLE, "op10_chat": chat.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

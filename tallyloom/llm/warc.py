@@ -179,3 +179,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     manifest = write(table(spark, sf_dir, "pages"), path)
     return read(spark, path, manifest, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: SQL for op4's rows.
+ORACLE = f"""
+WITH given AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+told AS (SELECT page_id, strlen(body) AS n, sha1(body) AS digest, max(page_id) OVER (PARTITION BY body) AS target FROM given)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN n >= {MIN_REVISIT} AND page_id < target THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= {MIN_REVISIT} AND page_id < target THEN target END AS refers_to FROM told
+"""
