@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import panel, prep
+from tallyloom.operators.ranking import running_totals
 from tallyloom.plans.registry import query
 from tallyloom.sources.retail import retail_tx, table
 from tallyloom.sources.tables import first_per_key, upsert_columns
@@ -65,11 +66,10 @@ _TOTALS = "SELECT stock_code, round(sum(sales_amount), 2) AS total FROM tx GROUP
     "tx",
 )
 def pareto_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Pareto curve: a row per code, so the global order is over aggregated rows alone."""
-    totals = retail_tx(spark, sf_dir).groupBy("stock_code").agg(F.round(F.sum("sales_amount"), 2).alias("total"))
-    order = Window.orderBy(F.desc("total"), "stock_code")
-    share = F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("total").over(Window.partitionBy())
-    return totals.select("stock_code", "total", F.row_number().over(order).cast("long").alias("rank"), F.round(share, 6).alias("cumulative_share"))
+    """The Pareto curve of all codes."""
+    totals = retail_tx(spark, sf_dir).groupBy("stock_code").agg(F.round(F.sum("sales_amount"), 2).alias("value"))
+    ranked = running_totals(totals, [F.desc("value"), F.asc("stock_code")], "value")
+    return ranked.select("stock_code", F.col("value").alias("total"), F.col("rank").cast("long").alias("rank"), F.round(F.col("running") / F.col("total"), 6).alias("cumulative_share"))
 
 
 @query(f"SELECT stock_code, total FROM ({_TOTALS}) ORDER BY total DESC, stock_code LIMIT 50", "tx")

@@ -4,6 +4,8 @@ import glob
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,19 +22,18 @@ def duck(small):
 
 
 def plain(value):
-    if hasattr(value, "item"):
-        value = value.item()
-    if isinstance(value, (list, tuple)) or type(value).__name__ == "ndarray":
+    if isinstance(value, (list, tuple, np.ndarray)):
         return tuple(map(plain, value))
-    if value is None or value != value or type(value).__name__ == "NaTType":
+    if value is None or value is pd.NA or value is pd.NaT or value != value:
         return None
+    value = value.item() if isinstance(value, np.generic) else value
     if hasattr(value, "year"):
         return str(value)[:10]
-    return round(value, 3) if isinstance(value, float) else value
+    return round(value, 3) + 0.0 if isinstance(value, float) else value
 
 
 def table(df):
-    return sorted((tuple(map(plain, row)) for row in df[sorted(df.columns)].itertuples(index=False)), key=str)
+    return sorted((tuple(map(plain, row)) for row in df[sorted(df.columns)].itertuples(index=False)), key=lambda row: (str([v for v in row if not isinstance(v, float)]), str(row)))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))

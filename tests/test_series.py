@@ -251,3 +251,15 @@ def test_every_operator_takes_an_empty_panel(panel):
     none = panel.where("false")
     for out in (H.lagged(none), H.profile(none), S.intermittency(none), S.trend(none), S.peaks(none), U.tsb_mean(none), U.adida(none), U.naive7(none, none), P.weekly_panel(none), S.numeric_features(none), L.training_rows(none)):
         assert out.count() == 0
+
+
+def test_running_totals(spark):
+    from tallyloom.operators.ranking import running_totals
+
+    values = np.random.default_rng(2).integers(-50, 50, 500).astype(float)
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k int, v double").repartition(5)
+    rows = sorted(running_totals(df, [F.desc("v"), F.asc("k")], "v").collect(), key=lambda r: r["rank"])
+    order = sorted(range(500), key=lambda k: (-values[k], k))
+    assert [r.k for r in rows] == order and [r["rank"] for r in rows] == list(range(1, 501))
+    assert np.allclose([r.running for r in rows], values[order].cumsum()) and {r.total for r in rows} == {values.sum()}
+    assert running_totals(df.where("false"), ["k"], "v").count() == 0
