@@ -169,13 +169,14 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT brand, CAST(year(date) AS INTEGER) AS year, round(sum(sales_amount), 2) AS total, CAST(grouping(brand, year(date)) AS BIGINT) AS level
+    """SELECT coalesce(brand, 'all') AS brand, coalesce(CAST(year(date) AS VARCHAR), 'all') AS year, round(sum(sales_amount), 2) AS total, CAST(grouping(brand, year(date)) AS BIGINT) AS level
     FROM tx GROUP BY GROUPING SETS ((brand, year(date)), (brand), ())""",
     "tx",
 )
 def totals_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = retail_tx(spark, sf_dir).select("brand", F.year("date").alias("year"), "sales_amount")
-    return tx.groupingSets([["brand", "year"], ["brand"], []], "brand", "year").agg(F.round(F.sum("sales_amount"), 2).alias("total"), F.grouping_id().alias("level"))
+    sets = tx.groupingSets([["brand", "year"], ["brand"], []], "brand", "year").agg(F.round(F.sum("sales_amount"), 2).alias("total"), F.grouping_id().alias("level"))
+    return sets.select(F.coalesce("brand", F.lit("all")).alias("brand"), F.coalesce(F.col("year").cast("string"), F.lit("all")).alias("year"), "total", "level")
 
 
 @query("SELECT description, list(DISTINCT brand ORDER BY brand) AS brands, CAST(count(DISTINCT stock_code) AS BIGINT) AS n_codes FROM tx GROUP BY 1", "tx")
