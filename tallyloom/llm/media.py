@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tallyloom.llm.arrowtext import by_bytes, flat, map_texts
 from tallyloom.llm.tables import table
-from tallyloom.session import fresh_path, ship
+from tallyloom.session import fresh_path, materialize, ship
 
 ROW = 576
 SCHEME = "media:sha256:"
@@ -231,6 +231,8 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = padded(F.col("text").cast("binary"))
     path = store(docs.select(payload.alias("payload")))
     pages = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), page(F.col("text"), F.sha2(payload, 256)).alias("html"))
-    found = resolve(interleave(pages, keep=["doc_id", "n_bytes"]), load(spark, path))
+    # as a table, so that the join deals both sides itself and can split a digest that very many documents share
+    loaded = materialize(load(spark, path), "media-loaded")
+    found = resolve(interleave(pages, keep=["doc_id", "n_bytes"]), loaded)
     feature = F.concat_ws(" ", "look", F.concat(F.lit("at="), "position", F.lit("/"), "n_elements"), F.concat(F.lit("caption="), "caption"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
