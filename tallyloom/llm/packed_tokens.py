@@ -124,8 +124,11 @@ class PackedReader:
 
 
 #: A chunk that is one run of letters: one pre-token, whose last symbol alone ends a word.
-_ONE_WORD = re.compile(rb" ?((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)")
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_ONE_WORD = "^ ?[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+#: A-Z in lower case, and the white space of ASCII as blanks, as the tokenizer reads them.
+_PLAIN = bytes(32 if c in b"\t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Words in a call.
+_CALL = 1024
 
 
 class WordEncoder:
@@ -141,35 +144,38 @@ class WordEncoder:
         for token, k in self.own.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
 
-    def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes of the chunks' ids, and these back to back."""
-        ids: list[list[int] | np.ndarray | None] = [None] * len(chunks)
-        plain, other = [], []
-        for k, chunk in enumerate(chunks):
-            (plain if _ONE_WORD.fullmatch(chunk) else other).append(k)
-        groups = [plain[i : i + 1024] for i in range(0, len(plain), 1024)]
-        for i in range(0, len(groups), 8):
-            some = groups[i : i + 8]
-            for group, coded in zip(some, self.own.encode_batch_fast([b" ".join(chunks[k].strip() for k in g).decode() for g in some], add_special_tokens=False), strict=True):
-                flat_ids = np.array(coded.ids, np.uint32)
-                stops = np.flatnonzero(self.ends[flat_ids]) + 1
-                if len(stops) != len(group):  # not one word end a word: each alone
-                    other += group
+    def _encode(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct chunks, in an order of their own: each one's place in it, the sizes of their ids, and these back to back."""
+        single = pc.match_substring_regex(chunks, _ONE_WORD).to_numpy(zero_copy_only=False)
+        plain, other = np.flatnonzero(single), [np.flatnonzero(~single)]
+        order, sizes, ids = [], [], []
+        words = chunks.take(pa.array(plain))
+        lines = pc.binary_join(pa.ListArray.from_arrays(np.append(np.arange(0, len(plain), _CALL), len(plain)).astype(np.int32), words), " ").to_pylist()
+        for k in range(0, len(lines), 8):
+            for j, coded in enumerate(self.own.encode_batch_fast(lines[k : k + 8], add_special_tokens=False), k):
+                group, found = plain[j * _CALL : (j + 1) * _CALL], np.array(coded.ids, np.uint32)
+                stops = np.flatnonzero(self.ends[found]) + 1
+                if len(stops) != len(group):  # not one end a word: each alone
+                    other.append(group)
                     continue
-                for k, part in zip(group, np.split(flat_ids, stops[:-1]), strict=True):
-                    ids[k] = part
-        for i in range(0, len(other), 4096):
-            some = other[i : i + 4096]
-            for k, coded in zip(some, self.own.encode_batch_fast([chunks[k].decode() for k in some], add_special_tokens=False), strict=True):
-                ids[k] = coded.ids
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        return sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+                order.append(group), ids.append(found), sizes.append(np.diff(stops, prepend=0))
+        rest = np.concatenate(other)
+        for k in range(0, len(rest), 4 * _CALL):
+            some = rest[k : k + 4 * _CALL]
+            lists = [coded.ids for coded in self.own.encode_batch_fast(chunks.take(pa.array(some)).to_pylist(), add_special_tokens=False)]
+            own = np.fromiter(map(len, lists), np.int64, len(lists))
+            order.append(some), sizes.append(own), ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(own.sum())))
+        place = np.zeros(len(chunks), np.int64)
+        if order:
+            place[np.concatenate(order)] = np.arange(len(chunks))
+        return place, np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, np.uint32), *ids])
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids by document, and all ids."""
-        starts = chunk_starts(data, offsets)
         raw = data.tobytes()
-        low = np.frombuffer(raw.translate(_LOWER), np.uint8)
+        low = np.frombuffer(raw.translate(_PLAIN), np.uint8)
+        # every blank is dropped in the end, so a line's end is a boundary like a space
+        starts = chunk_starts(low, offsets)
         if b"<|" in raw:  # special strings keep their case
             low = low.copy()
             ends = np.append(starts, len(data))
@@ -177,7 +183,8 @@ class WordEncoder:
                 k = int(np.searchsorted(starts, m.start(), "right")) - 1
                 low[ends[k] : ends[k + 1]] = data[ends[k] : ends[k + 1]]
         at, chunks = unique_chunks(low, starts)
-        sizes, ids = self._encode(chunks.to_pylist())
+        place, sizes, ids = self._encode(chunks.cast(pa.string()))
+        at = place[at]
         ragged = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(ids))
         out = ragged.take(pa.array(at)).flatten().to_numpy() if len(at) else ids
         return row_sums(sizes[at], starts, offsets), out
