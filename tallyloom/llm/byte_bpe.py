@@ -26,7 +26,7 @@ from tallyloom.llm.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Bytes of text or ids in a batch.
-BATCH = 8_000_000
+BATCH = 4_000_000
 
 
 @functools.cache

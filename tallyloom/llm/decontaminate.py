@@ -34,6 +34,8 @@ from tallyloom.session import materialize
 WIDTH = 10
 #: Most bytes of benchmark text that are broadcast at once.
 BLOCK_BYTES = 16_000_000
+#: Bytes of text in a shard.
+SHARD_BYTES = 6_000_000
 #: A suffix position is kept of every so many.
 SAMPLE = 8
 _WORD = np.array([b >= 0x80 or 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
@@ -308,7 +310,7 @@ def _pass(docs: DataFrame, text: str, block: Windows, again: bool, keep: list[st
 
     if again:
         docs = docs.withColumnsRenamed({"spans": "__spans", "items": "__items"})
-    return map_texts(docs, text, make, FIELDS, keep and [*keep, "__spans", "__items"]).drop("__spans", "__items")
+    return map_texts(docs, text, make, FIELDS, keep and [*keep, "__spans", "__items"], limit=SHARD_BYTES).drop("__spans", "__items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ CHAIN = 64
 EPOCHS = 30
 UND = "und"
 #: Bytes of text in a batch: chains take about fifteen times as much memory.
-BATCH = 4_000_000
+BATCH = 2_500_000
 #: Distinct words whose features are in memory at once.
 BLOCK = 40_000
 
