@@ -120,6 +120,28 @@ def test_redaction(private):
     assert clean[11] == "é[IP]é\n[PHONE]\n" and clean[0].startswith("mail [EMAIL], [EMAIL]") and "4111" not in clean[2].split(",")[0]
 
 
+LOOSE_FORMS = {
+    "email": [f"jane{at}example{dot}com" for at in ("@", " @ ", " @", "@ ", "[at]", " (at) ", "(at) ", " at ") for dot in (".", ". ", " .", "[dot]", " (dot) ", " dot ")],
+    "ip": ["1.2.3.4", "10 . 0 . 0 . 1", "10. 0. 0. 1", "10 .0 .0 .1", "10[.]0[.]0[.]1", "10(.)0.0.1", "10.0[.]0.1"],
+    "card": ["4111 1111 1111 1111", "3782-822463-10005", "4111 - 1111", "4111. 1111./1111", "4111_11_22"],
+    "phone": ["(803)555-5351", "(803) 555-5351", "803-555-5351", "803.555.5351", "803 555 5351", "(803)555.5351"],
+}
+
+
+def test_loose_matches_pass_their_gate_alone(spark):
+    texts = [(kind, t) for kind, forms in LOOSE_FORMS.items() for t in forms if re.search(pii.LOOSE[kind], t)]
+    assert len(texts) >= 64
+    for r in pii.candidates(spark.createDataFrame(texts, "want string, text string")).collect():
+        kind = pii.KINDS.index(r.want)
+        assert re.search(pii.LOOSE_GATE[r.want], r.text) and [(c.start, c.end) for c in r.more if c.kind == kind and c.origin == 1] == [(0, len(r.text))], r.text
+
+
+def test_sentences_are_no_addresses(spark):
+    docs = spark.createDataFrame([("we stay at home. The rest",), ("visit us at example.com now",), ("mail jane at example dot com. Then wait",)], "text string")
+    found = [[c.s for c in r.more if c.kind == 0 and c.ok] for r in pii.candidates(docs).withColumn("more", F.transform("more", lambda c: c.withField("ok", pii.sound(c)))).collect()]
+    assert found == [[], [], ["jane at example dot com"]]
+
+
 def test_trees_add_sound_candidates_only(spark):
     good = "".join(f"write to user{k}@mail{k}.example.com or call +1 (803) 555-{1000 + k} about {k}. " for k in range(40))
     bad = "".join(f"order {10**12 + 7 * k} of host 999.{k}.3.4 and code 1234-{5000 + k} . " for k in range(40))
