@@ -136,8 +136,7 @@ def candidate_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sku, date, CAST(round_even(greatest(y / 100, 0), 0) AS DOUBLE) AS n FROM train WHERE greatest(y / 100, 0) <= 200", "train")
 def count_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = split(spark, sf_dir)[0].where("greatest(y / 100, 0) <= 200")
-    return train.select("sku", "date", post.count_target(F.col("y") / 100, F.lit(200.0)).alias("n"))
+    return split(spark, sf_dir)[0].select("sku", "date", post.count_target(F.col("y") / 100, F.lit(200.0)).alias("n"))
 
 
 @query()

@@ -16,3 +16,11 @@ def test_exponential_history_of_all_days(spark, small):
     rows = got.where(F.col("sku").isin(some)).toPandas().sort_values(["sku", "date"])
     means = want.groupby("sku").y.transform(lambda y: y.ewm(span=7, adjust=False).mean().shift(1).fillna(0))
     assert np.allclose(rows.ewm_mean_7, means, atol=1e-5)
+
+
+def test_count_targets_are_clipped_not_dropped(spark, small):
+    train = panels.split(spark, small)[0].toPandas()
+    got = catalog.QUERIES["count_targets"](spark, small).toPandas()
+    want = np.minimum(np.round(np.maximum(train.y / 100, 0)), 200)
+    assert len(got) == len(train) and (train.y > 20_000).any()
+    assert sorted(got.n) == sorted(want)
