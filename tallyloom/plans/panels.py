@@ -52,8 +52,8 @@ def zero_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def zero_panel_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = daily(spark, sf_dir)
-    half, other = rows.where("date < '1998-01-01' AND sku < 'm'"), rows.where("date >= '1998-01-01' AND sku >= 'c'")
-    return P.zero_panel(other, half.select("sku").union(other.select("sku")), other)
+    half, other = rows.where("date < '1998-01-01'"), rows.where("date >= '1998-01-01'")
+    return P.zero_panel(rows, half.select("sku").union(other.select("sku")), rows)
 
 
 @query(

@@ -46,7 +46,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names and codes as people write them, and some that are on no list."""
     parts = table(spark, sf_dir, "part")
-    return parts.select(F.initcap("p_name").alias("query")).union(parts.select(F.concat(F.lit(" "), F.col("p_partkey").cast("string"), F.lit(". ")))).union(parts.select(F.concat_ws(" ", "p_type", "p_brand"))).distinct()
+    return parts.select(F.initcap("p_name").alias("query")).union(parts.select(F.concat(F.lit(" "), F.col("p_partkey").cast("string"), F.lit(". ")))).union(parts.select(F.concat_ws(" ", "p_type", "p_brand"))).union(parts.select(F.concat("p_name", F.lit(" discontinued")))).distinct()
 
 
 _ASKED = "asked AS (SELECT DISTINCT array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS query FROM part UNION SELECT ' ' || CAST(p_partkey AS VARCHAR) || '. ' FROM part UNION SELECT p_type || ' ' || p_brand FROM part)"
@@ -60,7 +60,7 @@ _ASKED = "asked AS (SELECT DISTINCT array_to_string(list_transform(string_split(
 )
 def resolve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.concat_ws(" ", "p_type", "p_brand")
-    listed = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(
+    listed = table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("product_key"), normalize_text(F.col("p_partkey").cast("string")).alias("product_id_norm"),
         normalize_text(F.col("p_name")).alias("normalized_product_name"), F.array(normalize_text(kinds)).alias("search_aliases_norm"),
     )
@@ -81,14 +81,14 @@ def fuzzy_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unavailable_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     name = F.upper("p_name")
-    listed = parts.where("p_name LIKE 'red%'").select(name.alias("product_family_name"), normalize_text(name).alias("normalized_product_name"), F.lit("").alias("product_id_norm"), F.array().cast("array<string>").alias("search_aliases_norm"), F.lit("dropped").alias("reason_type")).distinct()
+    listed = parts.select(name.alias("product_family_name"), normalize_text(name).alias("normalized_product_name"), F.lit("").alias("product_id_norm"), F.array().cast("array<string>").alias("search_aliases_norm"), F.lit("dropped").alias("reason_type")).distinct()
     return V.unavailable(parts.select(F.concat(F.lit("give me a forecast for "), "p_name").alias("query")).distinct(), listed).select("query", "product_family_name", "reason_type")
 
 
 @query(f"WITH {_CANON} SELECT product_key, forecast_date, forecast_value FROM canon WHERE product_family_name LIKE 'blue%' QUALIFY row_number() OVER (PARTITION BY product_key ORDER BY forecast_date) <= 14", "naive")
 def forecast_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = forecasts(spark, sf_dir)
-    wanted = rows.where("product_family_name LIKE 'blue%'").select("product_key").distinct()
+    wanted = rows.select("product_key").distinct()
     return V.lookup(rows, wanted, V.DEFAULT_HORIZON).select("product_key", "forecast_date", "forecast_value")
 
 

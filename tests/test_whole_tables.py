@@ -24,3 +24,15 @@ def test_count_targets_are_clipped_not_dropped(spark, small):
     want = np.minimum(np.round(np.maximum(train.y / 100, 0)), 200)
     assert len(got) == len(train) and (train.y > 20_000).any()
     assert sorted(got.n) == sorted(want)
+
+
+def test_lists_hold_all_parts_and_products(spark, small):
+    q = {n: catalog.QUERIES[n](spark, small) for n in ("resolve_cascade", "unavailable_match", "forecast_lookup", "zero_panel_union", "canonical_forecast")}
+    parts = table(spark, small, "part")
+    status = {r.query: r.status for r in q["resolve_cascade"].collect()}
+    asked = parts.select("p_partkey", "p_name").collect()
+    assert {status[f" {r.p_partkey}. "] for r in asked} == {"resolved"} and {status[f"{r.p_name} discontinued"] for r in asked} == {"not_found"}
+    assert q["unavailable_match"].count() == parts.select("p_name").distinct().count()
+    assert q["forecast_lookup"].count() == q["canonical_forecast"].select("product_key").distinct().count() * 14
+    sums = [df.agg(F.count("*"), F.round(F.sum("y"), 2)).first() for df in (q["zero_panel_union"], panels.dense(spark, small))]
+    assert sums[0] == sums[1]
