@@ -156,6 +156,15 @@ def test_trees_add_sound_candidates_only(spark):
         assert all(a[1] <= b[0] for a, b in zip(sorted(places), sorted(places)[1:], strict=False))
 
 
+def test_thresholds_are_margins_that_occur(spark):
+    """A candidate at its kind's least margin is chosen: thresholds are not rounded up."""
+    text = "".join(f"mail user{k} @ mail{k}.example.com or call (803) 555-{1000 + k} or (103) 555-{1000 + k} about {k}. " for k in range(40))
+    docs = spark.createDataFrame([(k, text + str(k)) for k in range(20)], "doc_id long, text string")
+    model = pii.fit(docs)
+    each = pii.candidates(docs).select(F.explode("more").alias("c")).select("c.kind", model.margin(F.array(*pii.features(F.col("c")))).alias("margin")).distinct().collect()
+    assert model.least and all(value in {r.margin for r in each if r.kind == kind} for kind, value in model.least.items())
+
+
 def test_pii_of_edge_cases(edge_docs, no_docs):
     assert pii.find(edge_docs).count() == edge_docs.count()
     assert pii.find(no_docs).count() == 0 and pii.fit(no_docs) is None
