@@ -165,6 +165,20 @@ def test_thresholds_are_margins_that_occur(spark):
     assert model.least and all(value in {r.margin for r in each if r.kind == kind} for kind, value in model.least.items())
 
 
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    """A text of a third of all rows counts once, and every kind keeps its share of the candidates."""
+    seen = []
+    candidates = pii.candidates
+    monkeypatch.setattr(pii, "candidates", lambda docs, text="text": seen.append(docs.count()) or candidates(docs, text))
+    monkeypatch.setattr(pii, "GBTClassifier", lambda **_: type("Spy", (), {"fit": lambda self, rows: seen.append({int(r.kind): r["count"] for r in rows.groupBy("kind").count().collect()}) or 1 / 0})())
+    monkeypatch.setattr(pii, "SAMPLE_CANDIDATES", 400)
+    many = " ".join(f"{k:05}" for k in range(3000)) + " 4111 1111 1111 1111"
+    docs = spark.createDataFrame([(k, f"mail a{k}@b.cc, ip 1.2.3.{k} or 999.1.1.{k}") for k in range(200)] + [(1000 + k, many) for k in range(100)], "doc_id long, text string")
+    with pytest.raises(ZeroDivisionError):
+        pii.fit(docs)
+    assert seen[0] == 201 and seen[1][0] > 30 and seen[1][1] > 30 and seen[1].get(2, 0) < 200
+
+
 def test_pii_of_edge_cases(edge_docs, no_docs):
     assert pii.find(edge_docs).count() == edge_docs.count()
     assert pii.find(no_docs).count() == 0 and pii.fit(no_docs) is None
