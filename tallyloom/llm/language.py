@@ -230,16 +230,23 @@ def held_out(doc: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def drawn(wanted: int, count: int) -> int:
+    """The largest of 63-bit hashes that draws about wanted of count documents."""
+    return max(1, min((1 << 63) - 1, (wanted << 63) // count))
+
+
 def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> Crf | None:
     """A field learned from a bounded sample of the documents with a language that aren't held out."""
-    usable = docs.where(F.col(doc).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc) & (F.octet_length(text) <= SAMPLE_BYTES)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc, text), F.lit(1_000_000)).alias("draw"))
+    usable = docs.where(F.col(doc).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc)).select(
+        F.col(lang).alias("lang"), F.when(F.octet_length(text) <= SAMPLE_BYTES, F.col(text)).otherwise(F.left(text, F.lit(SAMPLE_BYTES // 4))).alias("text"), F.shiftrightunsigned(F.xxhash64(doc, text), 1).alias("draw")
+    )
     sizes = usable.groupBy("lang").count().collect()
     if not sizes:
         return None
-    limit = F.lit(0)
+    limit = F.lit(-1)
     for row in sizes:
-        limit = F.when(F.col("lang") == row["lang"], int(min(1.0, per_language / row["count"]) * 1_000_000)).otherwise(limit)
-    return train(sorted((r.lang, r.text) for r in usable.where(F.col("draw") < limit).collect()))
+        limit = F.when(F.col("lang") == row["lang"], drawn(per_language, row["count"])).otherwise(limit)
+    return train(sorted((r.lang, r.text) for r in usable.where(F.col("draw") <= limit).collect()))
 
 
 def identify(docs: DataFrame, model: Crf | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -71,6 +71,20 @@ def test_language_of_edge_cases(edge_docs, no_docs, model, edge_texts):
     assert language.fit(no_docs) is None
 
 
+def test_every_language_is_learned(spark):
+    """However many documents a language has, some are drawn; one of long documents only is learned from their beginnings."""
+    assert language.drawn(120, 10**10) / 2**63 * 10**10 == pytest.approx(120) and language.drawn(120, 50) == 2**63 - 1
+    docs = spark.createDataFrame([(k, "the house is green and old " * 3, "en") for k in range(9)] + [(100 + k, "das Haus ist alt und grau " * 2000, "de") for k in range(9)], "doc_id long, text string, lang string")
+    assert language.fit(docs).languages == ["de", "en"]
+
+
+def test_mixed_texts_stay(spark, small, monkeypatch):
+    monkeypatch.setattr(language, "fit", lambda docs: None)
+    monkeypatch.setattr(language, "identify", lambda docs, model: docs.withColumns({"lang_pred": F.lit("de"), "score": F.lit(0.26)}))
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert corpus_pipeline.language_id(spark, docs, small).count() == 1
+
+
 def test_held_out_accuracy(spark, small):
     docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = language.op6_language(spark, small).collect()
