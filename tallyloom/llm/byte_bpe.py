@@ -1,8 +1,10 @@
 """Byte-level BPE encoding and decoding by the tiktoken library and a local rank file.
 
-Texts are split at safe boundaries (arrowtext.chunk_starts), which bounds what the library sees at once however long a text is; each
-distinct chunk of a batch is encoded once. Decoding looks raw bytes up by id, without going through text, so any list of ids can be
-decoded, also one that ends inside a character.
+Texts are split at safe boundaries (arrowtext.chunk_starts); each distinct chunk of a batch is encoded once. A chunk of more than LONG
+bytes, such as a run of white space, has no safe boundary: its pre-tokens are found by a regular expression without look-behind or nested
+repeats, in time linear in its length, and each goes to the library's encoder of single pieces, as the library's own splitter overflows
+its stack on long runs. Decoding looks raw bytes up by id, without going through text, so any list of ids can be decoded, also one that
+ends inside a character.
 
 Defined results: a null or empty text has no ids and decodes to no bytes. Ids outside the vocabulary raise. Extra columns stay; a
 column that has the name of an output is replaced. Rows are independent, so ties and repeated rows need no rule."""
@@ -16,6 +18,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ from tallyloom.llm.tables import table
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Bytes of text or ids in a batch.
 BATCH = 4_000_000
+#: Bytes of a chunk above which its pre-tokens are found outside the library.
+LONG = 20_000
 
 
 @functools.cache
@@ -37,6 +42,12 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def splitter(pattern: str) -> regex.Pattern:
+    """The pattern for the regex module, whose own white space holds four control characters more than Unicode's."""
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+
+
 @functools.cache
 def token_bytes(path: str, pattern: str) -> pa.BinaryArray:
     """The bytes of each id; null for ids that the file leaves out."""
@@ -50,14 +61,23 @@ class Codec:
     """Encodes and decodes batches as flat arrays."""
 
     def __init__(self, ranks: str, pattern: str) -> None:
-        self.ordinary, self.table = encoding(ranks, pattern).encode_ordinary, token_bytes(ranks, pattern)
+        self.library, self.table, self.pieces = encoding(ranks, pattern), token_bytes(ranks, pattern), splitter(pattern)
+
+    def chunk(self, data: bytes) -> list[int]:
+        """The ids of one chunk."""
+        if len(data) <= LONG:
+            return self.library.encode_ordinary(data.decode())
+        out: list[int] = []
+        for piece in self.pieces.finditer(data.decode()):
+            out += self.library._encode_single_piece(piece.group().encode())
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids by text, and all ids."""
         data, offsets = flat(texts)
         starts = chunk_starts(data, offsets)
         at, chunks = unique_chunks(data, starts)
-        lists = [self.ordinary(c.decode()) for c in chunks.to_pylist()]
+        lists = [*map(self.chunk, chunks.to_pylist())]
         sizes = np.fromiter(map(len, lists), np.int32, len(lists))
         ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
         ragged = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(ids))

@@ -6,8 +6,10 @@ learned with them. Training maximises the likelihood of sentences of the sample
 languages, by Adam on exact gradients. A document gets the language with the largest mean posterior of its words, and that as its score.
 
 The sample is bounded: about DOCS_PER_LANGUAGE documents of each language, chosen by hash, of at most SAMPLE_BYTES bytes each (the
-prediction has no such limits). The model, a few MB, is broadcast. Distinct words of a batch are scored once; chains are cut after CHAIN
-words, which bounds the steps of a batch however long its texts are.
+prediction has no such limits). The model, a few MB, is broadcast. Distinct words of a batch are scored once. A chain ends where its
+sentence does, however long that is. Chains of more than CHAIN words are computed in pieces of so many, all at a time: a piece's words
+compose into one matrix from what enters it to what leaves it, messages pass from piece to piece through these, and then all pieces
+go on side by side with the messages that enter them from both sides. The result is that of the whole chain.
 
 Defined results: null, empty and letterless texts are `und` with score 0; so is everything if no document can be learned from. Of
 languages with equal posteriors the alphabetically first wins. A null doc_id is neither learned from nor held out. Repeated rows are
@@ -32,6 +34,7 @@ from tallyloom.llm.tables import table
 DOCS_PER_LANGUAGE = 120
 SAMPLE_BYTES = 30_000
 BUCKETS = 1 << 16
+#: Words of a piece of a chain.
 CHAIN = 64
 EPOCHS = 30
 UND = "und"
@@ -74,16 +77,13 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     stops = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int32)
     coded = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(stops), pa.py_buffer(low[inside])]).dictionary_encode()
     docs = np.searchsorted(begins, offsets)
-    # a chain begins with a document, after a stop, and after CHAIN words
+    # a chain begins with a document and after a stop
     stop_before = np.concatenate([[0], np.cumsum(_STOP[data])])
     opens = np.ones(len(begins), bool)
     opens[1:] = stop_before[begins[1:]] != stop_before[ends[:-1]]
     opens[docs[:-1][docs[:-1] < len(begins)]] = True
     starts = np.flatnonzero(opens)
     sizes = np.diff(np.append(starts, len(begins)))
-    parts = -(-sizes // CHAIN)
-    k = ragged(np.zeros(len(starts), np.int64), parts)
-    starts, sizes = np.repeat(starts, parts) + k * CHAIN, np.minimum(CHAIN, np.repeat(sizes, parts) - k * CHAIN)
     return Words(coded.dictionary, coded.indices.to_numpy(), starts, sizes, docs)
 
 
@@ -142,34 +142,76 @@ class Crf:
             out.append(np.add.reduceat(self.hashed[found], starts, axis=0) + self.known[self.entries(some)])
         return np.concatenate(out)
 
-    def posteriors(self, scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
-        """Forward-backward: each word's probabilities. All chains go on together, one word a step. pairs: gets the sums of the
+    def posteriors(self, scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pairs: np.ndarray | None = None, piece: int = CHAIN) -> np.ndarray:
+        """Forward-backward: each word's probabilities. Pieces of all chains go on together, one word a step. pairs: gets the sums of the
         probabilities of neighbours' labels."""
+        local = np.exp(scores - scores.max(1, keepdims=True))
+        step = np.exp(self.step - self.step.max()).astype(local.dtype)
+        parts = -(-sizes // piece)
+        k = ragged(np.zeros(len(starts), np.int64), parts)
+        starts, sizes = np.repeat(starts, parts) + k * piece, np.minimum(piece, np.repeat(sizes, parts) - k * piece)
+        enter, behind = messages(local, step, np.exp(self.first - self.first.max()).astype(local.dtype), starts, sizes, k)
         order = np.argsort(-sizes, kind="stable")
-        starts, sizes = starts[order], sizes[order]
+        starts, sizes, enter, behind, inner = starts[order], sizes[order], enter[order], behind[order], k[order] > 0
         longest = int(sizes[0]) if len(sizes) else 0
-        live = np.searchsorted(-sizes, -np.arange(longest), "left")  # chains of more than t words
-        local = np.exp(scores - scores.max(1, keepdims=True))
-        ahead, step = np.empty_like(local), np.exp(self.step - self.step.max()).astype(local.dtype)
+        live = np.searchsorted(-sizes, -np.arange(longest), "left")  # pieces of more than t words
+        ahead = np.empty_like(local)
         for t in range(longest):
             at = starts[: live[t]] + t
-            now = local[at] * (ahead[at - 1] @ step if t else np.exp(self.first - self.first.max()).astype(local.dtype))
+            now = local[at] * (ahead[at - 1] @ step if t else enter)
             ahead[at] = now / now.sum(1, keepdims=True)
-        out, behind = ahead.copy(), np.ones((len(starts), local.shape[1]), local.dtype)
-        for t in range(longest - 2, -1, -1):
+        out = ahead.copy()
+        last = starts + sizes - 1
+        both = ahead[last] * behind
+        out[last] = both / both.sum(1, keepdims=True)
+        for t in range(longest - 2, -2, -1):
             n = live[t + 1]
             at = starts[:n] + t
-            right = local[at + 1] * behind[:n]
-            if pairs is not None:
+            if t < 0:  # pairs of the last word of a piece and the first of the next
+                at, some = at[inner], inner
+            else:
+                some = slice(n)
+            right = local[at + 1] * behind[some]
+            if pairs is not None and len(at):
                 joint = ahead[at][:, :, None] * step * right[:, None, :]
                 pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-            now = right @ step.T
-            behind[:n] = now / now.sum(1, keepdims=True)
-            both = ahead[at] * behind[:n]
-            out[at] = both / both.sum(1, keepdims=True)
+            if t >= 0:
+                now = right @ step.T
+                behind[:n] = now / now.sum(1, keepdims=True)
+                both = ahead[at] * behind[:n]
+                out[at] = both / both.sum(1, keepdims=True)
         return out
 
 
+def messages(local: np.ndarray, step: np.ndarray, first: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters each piece from the words before it and from those after it. place: a piece's number in its chain; the pieces of a
+    chain lie in order, all but its last are full."""
+    n, labels = len(starts), local.shape[1]
+    ahead, behind = np.tile(first, (n, 1)), np.ones((n, labels), local.dtype)
+    follows = np.append(place[1:] > 0, False) if n else np.zeros(0, bool)  # another piece of the chain follows
+    whole = np.flatnonzero(follows | (place > 0))
+    if not len(whole):
+        return ahead, behind
+    number = np.full(n, -1)
+    number[whole] = np.arange(len(whole))
+    made = np.tile(np.eye(labels), (len(whole), 1, 1))
+    for t in range(int(sizes[whole].max())):
+        on = np.flatnonzero(sizes[whole] > t)
+        now = (made[on] @ step if t else made[on]) * local[starts[whole[on]] + t][:, None, :]
+        made[on] = now / now.sum((1, 2), keepdims=True)
+    by_place = np.argsort(place, kind="stable")
+    bounds = np.searchsorted(place[by_place], np.arange(1, int(place.max()) + 2))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):  # pieces of the same number in all chains
+        own = by_place[a:b]
+        now = (ahead[own - 1][:, None, :] @ made[number[own - 1]])[:, 0] @ step
+        ahead[own] = now / now.sum(1, keepdims=True)
+    for a, b in zip(bounds[:-1][::-1], bounds[1:][::-1], strict=True):
+        own = by_place[a:b]
+        now = (made[number[own]] @ behind[own][:, :, None])[:, :, 0] @ step.T
+        behind[own - 1] = now / now.sum(1, keepdims=True)
+    return ahead, behind
+
+
 def train(samples: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -> Crf | None:
     """A field fitted to (language, text) pairs; None if no text has a word."""
     languages = sorted({lang for lang, _ in samples})

@@ -5,13 +5,18 @@ adjacent pairs, finds the lowest, and merges all places of that pair at once; se
 is the symbols that survive. That equals merging one pair at a time, as a pair that holds a merged symbol never ranks before the merge
 that made the symbol.
 
+Rounds over whole arrays would make a long unbroken sequence quadratic. Sequences of more than LONG symbols therefore lie in arrays with
+neighbour links: places wait by the rank of their pair, the lowest rank is merged at all its places at once, and only the pairs beside a
+merge get a new rank. So a symbol is looked at once for each merge beside it, however long its sequence is.
+
 Defined results: a null or empty text has 0 tokens and bytes. A special string inside a text is one token, as by the library's
 default. Extra columns stay; a column that has the name of an output is replaced. Rows are independent, so ties and repeated rows need
-no rule. Sequences of any length merge in the same arrays, so a text without spaces costs rounds, not memory."""
+no rule."""
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 from dataclasses import dataclass
 from itertools import chain
@@ -29,6 +34,8 @@ from tallyloom.llm.tables import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 _NONE = np.iinfo(np.int32).max
+#: Symbols of a sequence above which only the pairs beside a merge are looked up again.
+LONG = 512
 
 
 def byte_symbols() -> list[str]:
@@ -58,8 +65,11 @@ class Merges:
     def count(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Symbols that survive in each of the ragged sequences."""
         out = sizes.astype(np.int64)
-        live = np.flatnonzero(sizes > 1)
-        symbols = symbols[np.repeat(sizes > 1, sizes)]
+        long, short = sizes > LONG, (sizes > 1) & (sizes <= LONG)
+        if long.any():
+            out[long] = self.count_long(symbols[np.repeat(long, sizes)], sizes[long])
+        live = np.flatnonzero(short)
+        symbols = symbols[np.repeat(short, sizes)]
         sizes = sizes[live]
         while len(live):
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -85,6 +95,53 @@ class Merges:
         return out
 
 
+    def count_long(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """As count(), for long sequences: the places of a rank, in all sequences, merge together, lowest rank first."""
+        n, ends = len(symbols), np.cumsum(sizes)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1], before[ends[:-1]], alive = n, -1, np.ones(n, bool)
+        before[0] = -1
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[after[at] < n]
+            found = self.lookup(symbols[at], symbols[after[at]])[0]
+            at, found = at[found != _NONE], found[found != _NONE]
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            starts = np.flatnonzero(np.diff(found, prepend=-1))
+            for rank, own in zip(found[starts].tolist(), np.split(at, starts[1:]) if len(at) else (), strict=True):
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(ranks, rank)
+                waiting[rank].append(own)
+
+        wait(np.arange(n))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            places = np.unique(np.concatenate(waiting.pop(rank)))
+            places = places[alive[places] & (after[places] < n)]
+            found, made = self.lookup(symbols[places], symbols[after[places]])
+            places, made = places[found == rank], made[found == rank]
+            if not len(places):
+                continue
+            # x x x: of overlapping places, every second one from the left
+            first = np.ones(len(places), bool)
+            first[1:] = after[places[:-1]] != places[1:]
+            run = np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
+            taken = (np.arange(len(places)) - run) % 2 == 0
+            places = places[taken]
+            gone = after[places]
+            symbols[places], alive[gone] = made[taken], False
+            after[places] = after[gone]
+            linked = after[places] < n
+            before[after[places[linked]]] = places[linked]
+            left = before[places]
+            wait(np.unique(np.concatenate([places, left[left >= 0]])))
+        return np.add.reduceat(alive, ends - sizes, dtype=np.int64)
+
+
 @functools.cache
 def merges(path: str) -> Merges:
     """The merges of a byte-level BPE tokenizer file, once per Python worker."""
