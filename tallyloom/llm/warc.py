@@ -1,17 +1,20 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are sorted by range over the cluster. Each task writes its range into gzip members, one per record, and rolls to the next file
-once a file has ROLL_BYTES compressed bytes. All headers are made anew from the row: record ids from key and digest, lengths, payload and
+Records are sorted by range over the cluster. Ranges (shards) come from exact sums of bytes by fixed buckets of keys, finer where a bucket
+holds more than a shard, and not from a sample: equal tables have equal shards, whatever their partitions. Rows of one key that exceed a
+shard are split by their digests. A shard is written into gzip members, one per record, and rolls to the next file once a file has
+ROLL_BYTES compressed bytes. All headers are made anew from the row: record ids from key and digest, lengths, payload and
 block digests. A file is written under a temporary name and renamed when complete; a row per file goes to the manifest, which Spark
-commits after all tasks, and readers open only files that the manifest lists. A task that runs again writes the same bytes under the
-same names.
+commits after all tasks, and readers open only files that the manifest lists. A task or a whole run that is done again writes the same bytes under
+the same names.
 
 Of rows with equal payloads of at least MIN_REVISIT bytes, that with the largest key is a response record, the others are revisit
 records of it, without the payload. The groups are found by an aggregation of digests; keys and digests alone are joined to them.
 
 Defined results: a null payload is written as an empty one. Rows with a null key sort first, are responses unless a row with a key has
 their payload, and are never revisited. Repeated rows of the largest key are all responses. A null url is written as an empty one; line
-breaks in urls become spaces. An empty table has an empty manifest. Other columns are not written."""
+breaks in urls become spaces. An empty table has an empty manifest. Other columns are not written. Rows that are equal in key and digest
+lie in one shard, as nothing tells them apart."""
 
 from __future__ import annotations
 
@@ -22,7 +25,6 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ from tallyloom.session import fresh_path, materialize, ship
 
 MIN_REVISIT = 1000
 ROLL_BYTES = 64_000_000
+#: Payload bytes of a shard, or more where that would make over MOST_SHARDS.
+SHARD_BYTES = 24_000_000
+MOST_SHARDS = 20_000
+#: Bits of keys that are told apart at first, and in each further step inside buckets that exceed a shard.
+FIRST_BITS, MORE_BITS = 16, 8
 #: Capture time that regenerated headers state.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -102,20 +109,68 @@ def parse(data: bytes) -> dict:
     return {"key": number("X-Key"), "url": fields["WARC-Target-URI"], "payload_bytes": length, "payload_digest": digest.hex(), "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Key"), "payload": None if revisit else payload}
 
 
-def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit: int = MIN_REVISIT, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def shards(index: DataFrame, shard_bytes: int) -> tuple[list[DataFrame], list[str], int]:
+    """How to deal rows by key: tables (id, shard, parts), one per bucket width, the expression of each one's id, and the number of
+    shards. A row's shard is that of the last table that has its id, plus its digest's share of parts; ids of null keys are null.
+
+    The driver gets sums of buckets: 2 ** FIRST_BITS, and 2 ** MORE_BITS for each of the at most MOST_SHARDS that exceed a shard."""
+    spark = index.sparkSession
+    low, high, total = index.agg(F.min("key"), F.max("key"), F.sum("n")).first()
+    target = max(shard_bytes, -(-(total or 0) // MOST_SHARDS))
+    span = (high or 0) - (low or 0)
+    base = 0 if span >> 63 else low or 0  # a difference of longs may not be a long
+    width = max(0, span.bit_length() - FIRST_BITS)
+    widths, leaves, heavy = [], [], None
+    while True:
+        own = f"shiftright(key - {base}L, {width})"
+        rows = index if heavy is None else index.join(F.broadcast(heavy), F.expr(widths[-1]) == F.col("__heavy"), "left_semi")
+        sums = [(r.id, r.n) for r in rows.groupBy(F.expr(own).alias("id")).agg(F.sum("n").alias("n")).collect()]
+        last = width == 0
+        over = [] if last else [i for i, n in sums if i is not None and n > target]
+        leaves += [(i is not None, (i or 0) << width, len(widths), i, n) for i, n in sums if i not in set(over)]
+        widths.append(own)
+        if not over:
+            break
+        heavy, width = spark.createDataFrame([(i,) for i in over], "__heavy long"), max(0, width - MORE_BITS)
+    tables: list[list[tuple[int | None, int, int]]] = [[] for _ in widths]
+    shard, held = 0, 0
+    for _, _, level, i, n in sorted(leaves, key=lambda leaf: leaf[:2]):
+        parts = -(-n // target) if i is None or level == len(widths) - 1 else 1
+        if held and (held + n > target or parts > 1):
+            shard, held = shard + 1, 0
+        tables[level].append((i, shard, parts))
+        shard, held = shard + parts - 1, n if parts > 1 else held + n
+    return [spark.createDataFrame(t, "id long, shard long, parts long") for t in tables], widths, shard + 1
+
+
+def dealt(rows: DataFrame, tables: list[DataFrame], ids: list[str]) -> DataFrame:
+    """rows (with key and digest) with their shard."""
+    shard, parts = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for k, (own, id_) in enumerate(zip(tables, ids, strict=True)):
+        named = own.select(F.col("id").alias(f"__id{k}"), F.col("shard").alias(f"__shard{k}"), F.col("parts").alias(f"__parts{k}"))
+        rows = rows.join(F.broadcast(named), F.expr(id_).eqNullSafe(F.col(f"__id{k}")), "left")
+        shard, parts = F.coalesce(f"__shard{k}", shard), F.coalesce(f"__parts{k}", parts)
+    share = F.conv(F.left("digest", F.lit(8)), 16, 10).cast("long")
+    added = [c for k in range(len(tables)) for c in (f"__id{k}", f"__shard{k}", f"__parts{k}")]
+    return rows.withColumn("shard", shard + F.shiftright(share * parts, 32)).drop(*added)
+
+
+def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit: int = MIN_REVISIT, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write all rows to WARC files in path; the manifest: file, records, bytes, first_key, last_key."""
     spark = df.sparkSession
     ship(spark)
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    about_ = df.select(F.col(key).cast("long").alias("key"), F.sha1(body).alias("digest"), F.octet_length(body).alias("n")).where(F.col("n") >= min_revisit).drop("n")
+    index = materialize(df.select(F.col(key).cast("long").alias("key"), F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("n")), "warc-index")
+    about_ = index.where(F.col("n") >= min_revisit).drop("n")
     groups = about_.groupBy("digest").agg(F.max("key").alias("target"), F.count("*").alias("n")).where("n > 1 AND target IS NOT NULL").select("digest", "target")
     revisits = about_.join(groups, "digest").where("key IS NULL OR key < target").select("key", "digest", "target").distinct()
     # a revisit's target travels as a row of its own, sorted right before the pages of its key and digest: payloads are shuffled once
     pages = df.select(F.col(key).cast("long").alias("key"), F.sha1(body).alias("digest"), F.lit(None).cast("long").alias("target"), F.col(url).alias("url"), body.alias("payload"))
-    rows = pages.unionByName(revisits, allowMissingColumns=True)
+    tables, ids, count = shards(index.withColumn("n", F.col("n") + 200), shard_bytes)
+    rows = dealt(pages.unionByName(revisits, allowMissingColumns=True), tables, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, out = TaskContext.get().partitionId(), 0, None
+        part, k, out = None, 0, None
         system, base = files.place(path)
 
         def close() -> pa.RecordBatch:
@@ -125,7 +180,11 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payl
 
         told: tuple = ()
         for batch in batches:
-            for own_key, digest, target, own_url, data in zip(*(c.to_pylist() if n != "payload" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)), strict=True):
+            for own_key, digest, target, own_url, data, shard in zip(*(c.to_pylist() if n != "payload" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)), strict=True):
+                if shard != part:
+                    if out is not None:
+                        yield close()
+                    part, k, out = shard, 0, None
                 if target is not None:
                     told = own_key, digest, target
                     continue
@@ -145,7 +204,7 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payl
             yield close()
 
     out_schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())])
-    placed = rows.repartitionByRange("key", "digest").sortWithinPartitions("key", "digest", F.desc_nulls_last("target"), "url")
+    placed = rows.repartitionById(count, F.col("shard").cast("int")).sortWithinPartitions("shard", "key", "digest", F.desc_nulls_last("target"), "url")
     return materialize(placed.mapInArrow(run, "file string, records long, bytes long, first_key long, last_key long"), "warc-manifest")
 
 
