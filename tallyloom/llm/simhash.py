@@ -2,11 +2,11 @@
 
 A fingerprint is the majority of the XXH64 hashes of a text's word shingles, bit by bit. Fingerprints of at most RADIUS differing bits
 link. Copies are first reduced to distinct fingerprints. As RADIUS changed bits leave one of RADIUS + 1 bands of bits untouched, every
-band's value names a shard, and linked fingerprints meet in at least one shard; values with a single fingerprint drop out. Each shard
-gets a BK-tree of at most TREE_NODES nodes: children hang from their parent by their integer Hamming distance to it. A shard with more
-fingerprints has several trees; each of them is handed to every block of the shard's fingerprints ("broadcast" within the shard, by
-Spark's shuffle, as trees of all documents would not fit a driver). A search follows only edges within RADIUS of the query's distance
-to the node. A batch of shards forms one forest, built and searched level by level in numpy. Only spanning links leave a shard: each
+band's value names a shard, and linked fingerprints meet in at least one shard; values with a single fingerprint drop out. A shard of more
+than TREE_NODES fingerprints is divided by bands of its other bits in the same way, until none is larger. Each shard gets a BK-tree:
+children hang from their parent by their integer Hamming distance to it. Trees aren't broadcast from the driver, which trees of all
+documents would not fit: a tree meets the queries of its shard by Spark's shuffle. A search follows only edges within RADIUS of the
+query's distance to the node. A batch of shards forms one forest, built and searched level by level in numpy. Only spanning links leave a shard: each
 fingerprint to the least one that it reaches there. Components over all links come from alternating large-star and small-star steps
 over tables in the shared folder. Documents, links and fingerprints never go to the driver.
 
@@ -130,15 +130,12 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
-def forest_links(shard: np.ndarray, fps: np.ndarray, is_node: np.ndarray, is_query: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def forest_links(shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of a batch of whole shards (sorted by shard): each fingerprint and the least one that it reaches in its shard."""
     distinct, number = np.unique(fps.view(np.int64), return_inverse=True)
-    nodes, asks = np.flatnonzero(is_node), np.flatnonzero(is_query)
-    some = np.isin(shard[asks], shard[nodes])
-    asks = asks[some]
     left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for query, node in search(fps[nodes], shard[nodes], fps[asks], shard[asks], radius):
-        a, b = number[asks[query]], number[nodes[node]]
+    for query, node in search(fps, shard, fps, shard, radius):
+        a, b = number[query], number[node]
         left.append(a[a != b]), right.append(b[a != b])
         held += len(left[-1])
         if held > FRONTIER:  # reduce to a spanning set
@@ -150,29 +147,56 @@ def forest_links(shard: np.ndarray, fps: np.ndarray, is_node: np.ndarray, is_que
     return distinct[moved], distinct[root[moved]]
 
 
+def bands(bits: tuple[int, ...], radius: int) -> list[tuple[int, ...]]:
+    """radius + 1 bands of the given bit numbers: radius changed bits leave one of them untouched."""
+    return [tuple(int(b) for b in band) for band in np.array_split(np.array(bits), radius + 1)]
+
+
+def _mask(bits: tuple[int, ...]) -> int:
+    """As a signed long."""
+    whole = sum(1 << b for b in bits)
+    return whole - (1 << 64) if whole >> 63 else whole
+
+
+def sharded(fps: DataFrame, radius: int = RADIUS, most: int = TREE_NODES) -> DataFrame:
+    """(mask, value, fp): shards of two to most distinct fingerprints, so that all within radius of each other meet in one of them.
+
+    A shard holds the fingerprints that are equal under a mask of bits. One of more than most of them is divided by the bands of the bits
+    that are left, of which radius changed ones again leave one untouched: each member goes to radius + 1 narrower shards. When no more
+    than log2(most) bits are left, a shard can't hold more, so this ends after a few rounds (four, for two bits)."""
+    every, most = tuple(range(64)), max(most, 1 << radius)
+    open_ = {_mask(band): tuple(b for b in every if b not in band) for band in bands(every, radius)}  # mask: bits that are left
+    now = fps.select("fp", F.explode(F.array(*map(F.lit, open_))).alias("mask"))
+    out = []
+    while open_:
+        keyed = now.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = materialize(keyed.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "shards")
+        out.append(keyed.join(sizes.where(F.col("n") <= most), ["mask", "value"]).select("mask", "value", "fp"))
+        crowded = {r.mask for r in sizes.where(F.col("n") > most).select("mask").distinct().collect()}
+        if not crowded:
+            break
+        # the number of masks grows by radius + 1 a round; they depend on the radius alone
+        split = {m: [(_mask(tuple(b for b in every if b not in left) + band), tuple(b for b in left if b not in band)) for band in bands(left, radius)] for m, left in open_.items() if m in crowded}
+        narrower = F.create_map(*[x for m, parts in split.items() for x in (F.lit(m), F.array(*[F.lit(p) for p, _ in parts]))])
+        hot = keyed.join(sizes.where(F.col("n") > most).select("mask", "value"), ["mask", "value"])
+        now = hot.select("fp", F.explode(narrower[F.col("mask")]).alias("mask")).distinct()
+        open_ = {p: left for parts in split.values() for p, left in parts}
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
     """Spanning links (fp, to) of distinct fingerprints in column fp: whatever is within radius is connected by them."""
-    spark = fps.sparkSession
-    ship(spark)
-    bands = np.array_split(np.arange(64), radius + 1)
-    masks = [int(sum(1 << int(b) for b in band)) for band in bands]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(signed)])).alias("key")).select("fp", "key.band", "key.value")
-    sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, ["band", "value"]).withColumn("trees", F.ceil(F.col("n") / tree_nodes).cast("int"))
-    trees = shared.withColumn("tree", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-    # a shard of one tree: nodes are the queries; of more: each tree goes to each block of queries
-    nodes = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("trees") - 1))).withColumns({"node": F.lit(True), "query": F.col("trees") == 1})
-    asks = trees.where("trees > 1").withColumnRenamed("tree", "block").withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1))).withColumns({"node": F.lit(False), "query": F.lit(True)})
-    cols = ["band", "value", "tree", "block", "fp", "node", "query"]
-    key = cols[:4]
-    dealt = nodes.select(*cols).unionByName(asks.select(*cols)).repartition(*key).sortWithinPartitions(*key)
+    ship(fps.sparkSession)
+    dealt = sharded(fps, radius, tree_nodes).repartition("mask", "value").sortWithinPartitions("mask", "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole(rows: list[np.ndarray]) -> pa.RecordBatch:
             edge = np.ones(len(rows[0]), bool)
-            edge[1:] = np.any([c[1:] != c[:-1] for c in rows[:4]], axis=0)
-            a, b = forest_links(np.cumsum(edge) - 1, rows[4].view(np.uint64), rows[5], rows[6], radius)
+            edge[1:] = np.any([c[1:] != c[:-1] for c in rows[:2]], axis=0)
+            a, b = forest_links(np.cumsum(edge) - 1, rows[2].view(np.uint64), radius)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["fp", "to"])
 
         held: list[np.ndarray] = []
@@ -180,7 +204,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) ->
             new = [np.array(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             if len(held[0]) >= FOREST:  # all but the last shard are whole
-                last = np.any([c != c[-1] for c in held[:4]], axis=0)
+                last = np.any([c != c[-1] for c in held[:2]], axis=0)
                 cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
                 if cut:
                     yield whole([c[:cut] for c in held])
