@@ -8,8 +8,10 @@ suffix array by prefix doubling, the Burrows-Wheeler transform in a wavelet matr
 position. All windows are searched backwards at once; occurrences are located by stepping to the next sampled position; the words that
 they cover merge into removal spans.
 
-The items are the query set: they go to the executors in blocks of at most BLOCK_BYTES of text, measured first; each further block is
-another pass over the documents, whose spans and items are merged with those found before. Nothing is shuffled.
+The items are the query set. Their distinct rows are cut into words by Spark and counted: blocks have about BLOCK_WINDOWS windows each, and
+an item of more than SLICE of them is divided. What is built from a block is an array of 4 bytes a word of a window (8 MB a block) beside
+vocabulary and owners; blocks are files that Spark hands to the executors, and a worker holds one at a time. Documents are read in one
+pass: a shard is searched for each block in turn, and its hit words are marked in one array. No document is shuffled.
 
 Defined results: null has no words, in documents and in items; an item without words has no window. An item whose item_id is null
 counts under the name "null". Rows of equal item_id are one item with all their windows. Repeated documents are rows like any other. An
@@ -17,23 +19,27 @@ empty benchmark hits nothing. Extra columns stay; a column that has the name of
 
 from __future__ import annotations
 
-import itertools
+import pickle
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.llm import files
 from tallyloom.llm.arrowtext import flat, map_texts
 from tallyloom.llm.tables import table
-from tallyloom.session import materialize
+from tallyloom.session import fresh_path, materialize
 
 WIDTH = 10
-#: Most bytes of benchmark text that are broadcast at once.
-BLOCK_BYTES = 16_000_000
+#: Windows of a block, about, and most windows of an item that stay together.
+BLOCK_WINDOWS = 200_000
+SLICE = 50_000
 #: Bytes of text in a shard.
 SHARD_BYTES = 6_000_000
 #: A suffix position is kept of every so many.
@@ -180,23 +186,26 @@ class Windows:
         return min(self.patterns, default=0)
 
 
-def windows(items: list[tuple[object, str | None]], width: int = WIDTH) -> Windows:
-    """The distinct windows of items (item_id, text)."""
+def windows(items: list[tuple[str, str]], width: int = WIDTH) -> Windows:
+    """The distinct windows of items (name, text)."""
     texts = pa.array([t for _, t in items], pa.string())
     starts, _, found = words(*flat(texts))
     coded = found.dictionary_encode()
-    numbers = coded.indices.to_numpy().astype(np.int64) + 1
+    numbers = coded.indices.to_numpy().astype(np.int32) + 1
     ends = np.searchsorted(starts, flat(texts)[1])
-    names = sorted({"null" if k is None else str(k) for k, _ in items})
-    of_name = {n: i for i, n in enumerate(names)}
-    by_length: dict[int, dict[tuple[int, ...], set[int]]] = {}
-    for row, (key, _) in enumerate(items):
-        own = numbers[ends[row] : ends[row + 1]].tolist()
-        size = min(width, len(own))
-        for k in range(len(own) - size + 1 if size else 0):
-            by_length.setdefault(size, {}).setdefault(tuple(own[k : k + size]), set()).add(of_name["null" if key is None else str(key)])
-    owners = {n: (np.cumsum([0, *map(len, d.values())]), np.array([*itertools.chain.from_iterable(map(sorted, d.values()))])) for n, d in by_length.items()}
-    return Windows(coded.dictionary, names, {n: np.array([*d], np.int64) for n, d in by_length.items()}, owners)
+    names, of_item = np.unique(np.array([n for n, _ in items], object), return_inverse=True) if items else ([], np.zeros(0, np.int64))
+    sizes, patterns, owners = np.diff(ends), {}, {}
+    for size in range(1, width + 1):
+        own = np.flatnonzero(sizes == size if size < width else sizes >= width)
+        if not len(own):
+            continue
+        counts = sizes[own] - size + 1
+        rows = numbers[ragged(ends[own], counts)[:, None] + np.arange(size)]
+        _, first, window = np.unique(rows.view(np.dtype((np.void, rows.itemsize * size)))[:, 0], return_index=True, return_inverse=True)
+        pairs = np.unique(window * len(names) + np.repeat(of_item[own], counts))
+        patterns[size] = rows[first]
+        owners[size] = np.searchsorted(pairs, np.arange(len(first) + 1) * len(names)), (pairs % len(names)).astype(np.int32)
+    return Windows(coded.dictionary, [*names], patterns, owners)
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -240,7 +249,7 @@ def code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])[at]
 
 
-def find(batch: pa.RecordBatch, sought: Windows) -> tuple[np.ndarray, list[list[dict]], list[list[str]]]:
+def find(batch: pa.RecordBatch, blocks: Iterable[Windows]) -> tuple[np.ndarray, list[list[dict]], list[list[str]]]:
     """Of each document of a shard: number of words, spans of hit words, names of items."""
     data, offsets = flat(batch.column("__text"))
     n = len(offsets) - 1
@@ -248,24 +257,26 @@ def find(batch: pa.RecordBatch, sought: Windows) -> tuple[np.ndarray, list[list[
     names: list[list[str]] = [[] for _ in range(n)]
     starts, ends, found = words(data, offsets)
     edges = np.searchsorted(starts, offsets)
-    if not sought.patterns or not len(starts):
+    if not len(starts):
         return np.diff(edges), spans, names
-    numbers = pc.fill_null(pc.index_in(found, value_set=sought.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
     begins = np.zeros(len(starts) + 1, bool)
     begins[edges] = True
     steps = np.zeros(len(starts) + 1, np.int64)
-    pairs = []
-    for size, window, at in occurrences(numbers, begins[:-1], sought):
-        np.add.at(steps, at, 1)
-        np.add.at(steps, at + size, -1)
-        doc = np.searchsorted(edges, at, "right") - 1
-        key = np.unique(doc * len(sought.patterns[size]) + window)
-        ends_of, of = sought.owners[size]
-        doc, window = np.divmod(key, len(sought.patterns[size]))
-        counts = ends_of[window + 1] - ends_of[window]
-        pairs.append(np.repeat(doc, counts) * len(sought.names) + of[ragged(ends_of[window], counts)])
-    for key in np.unique(np.concatenate(pairs)) if pairs else []:
-        names[key // len(sought.names)].append(sought.names[key % len(sought.names)])
+    for sought in blocks:
+        numbers = pc.fill_null(pc.index_in(found, value_set=sought.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        pairs = []
+        for size, window, at in occurrences(numbers, begins[:-1], sought):
+            np.add.at(steps, at, 1)
+            np.add.at(steps, at + size, -1)
+            doc = np.searchsorted(edges, at, "right") - 1
+            key = np.unique(doc * len(sought.patterns[size]) + window)
+            ends_of, of = sought.owners[size]
+            doc, window = np.divmod(key, len(sought.patterns[size]))
+            counts = ends_of[window + 1] - ends_of[window]
+            pairs.append(np.unique(np.repeat(doc, counts) * len(sought.names) + of[ragged(ends_of[window], counts)]))
+        for key in np.unique(np.concatenate(pairs)) if pairs else []:
+            names[key // len(sought.names)].append(sought.names[key % len(sought.names)])
+    names = [sorted({*own}) for own in names]
     hit = np.cumsum(steps[:-1]) > 0
     first, last = hit.copy(), hit.copy()
     first[1:] &= ~hit[:-1] | begins[1:-1]
@@ -280,51 +291,52 @@ def find(batch: pa.RecordBatch, sought: Windows) -> tuple[np.ndarray, list[list[
     return np.diff(edges), spans, names
 
 
-def merged(one: list[dict], two: list[dict]) -> list[dict]:
-    """The union of two documents' spans; spans that share or touch words become one."""
-    out: list[dict] = []
-    for span in sorted([*one, *two], key=lambda s: (s["word"], s["word_end"])):
-        if out and span["word"] <= out[-1]["word_end"]:
-            if span["word_end"] > out[-1]["word_end"]:
-                out[-1] |= {"word_end": span["word_end"], "end": span["end"]}
-        else:
-            out.append(dict(span))
-    return out
+#: Fixed value: what a word is, for Java's regular expressions.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 
+def sliced(benchmark: DataFrame, item: str, text: str, width: int) -> DataFrame:
+    """(name, text, n) of the distinct items: words joined by spaces, divided into slices of at most SLICE windows, which they number."""
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("name"), F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = rows.select("name", F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    count: Column = F.greatest(F.size("w") - (width - 1), F.lit(1))
+    parts = found.select("name", "w", count.alias("of"), F.explode(F.sequence(F.lit(0), F.floor((count - 1) / SLICE).cast("int"))).alias("k"))
+    n = F.least(F.col("of") - F.col("k") * SLICE, F.lit(SLICE))
+    return parts.select("name", F.array_join(F.slice("w", F.col("k") * SLICE + 1, n + (width - 1)), " ").alias("text"), n.alias("n"))
 
-def _pass(docs: DataFrame, text: str, block: Windows, again: bool, keep: list[str] | None) -> DataFrame:
-    """One pass over the documents with one block of items; again: merge with the columns of passes before."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, item: str = "item_id", item_text: str = "text", block_windows: int = BLOCK_WINDOWS, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) with n_words, spans (hit words: numbers of the first and after the last, and code points) and items (names, as sorted
+    strings)."""
+    spark = docs.sparkSession
+    slices = materialize(sliced(benchmark, item, item_text, width), "benchmark-slices")
+    count = -(-(slices.agg(F.sum("n")).first()[0] or 0) // block_windows)
+    names = []
+    for k in range(count):
+        own = slices.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == k).select("name", "text")
+        block = fresh_path(spark, "benchmark-block")
+        system, path = files.place(block)
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(path) as out:
+            out.write(pickle.dumps(windows([tuple(r) for r in own.collect()], width), 5))
+        spark.sparkContext.addFile(block)
+        names.append(block.rpartition("/")[2])
+
+    def load(name: str) -> Windows:
+        with open(SparkFiles.get(name), "rb") as block:
+            return pickle.load(block)
 
     def make():
-        sought = shared.value
+        held = [load(names[0])] if len(names) == 1 else None
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            n_words, spans, names = find(batch, sought)
-            if again:
-                spans = [merged(a, b) for a, b in zip(spans, batch.column("__spans").to_pylist(), strict=True)]
-                names = [sorted({*a, *b}) for a, b in zip(names, batch.column("__items").to_pylist(), strict=True)]
-            return [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(_ARROW_SPAN)), pa.array(names, pa.list_(pa.string()))]
+            n_words, spans, items = find(batch, held or map(load, names))
+            return [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(_ARROW_SPAN)), pa.array(items, pa.list_(pa.string()))]
 
         return work
 
-    if again:
-        docs = docs.withColumnsRenamed({"spans": "__spans", "items": "__items"})
-    return map_texts(docs, text, make, FIELDS, keep and [*keep, "__spans", "__items"], limit=SHARD_BYTES).drop("__spans", "__items")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns in keep) with n_words, spans (hit words: numbers of the first and after the last, and code points) and items (names, as sorted
-    strings)."""
-    rows = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 40), F.lit(0))).first()[0]
-    blocks = -(-size // block_bytes) or 1
-    out = docs
-    for k in range(blocks):
-        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        block = windows([(r.item, r.text) for r in own.collect()], width)
-        out = _pass(out if not k else materialize(out, "decontaminated"), text, block, k > 0, keep if k == blocks - 1 else None)
-    return out
+    return map_texts(docs, text, make, FIELDS, keep, limit=SHARD_BYTES)
 
 
 def n_hit(spans: str = "spans") -> F.Column:
