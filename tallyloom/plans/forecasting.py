@@ -134,12 +134,13 @@ def candidate_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return post.candidate_caps(split(spark, sf_dir)[0].withColumn("y", F.col("y") / 100))
 
 
-@query("SELECT sku, date, CAST(round_even(greatest(y / 100, 0), 0) AS DOUBLE) AS n FROM train WHERE greatest(y / 100, 0) <= 200", "train")
+@query("SELECT sku, date, CAST(least(round_even(greatest(y / 100, 0), 0), 200) AS DOUBLE) AS n FROM train", "train")
 def count_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(spark, sf_dir)[0].select("sku", "date", post.count_target(F.col("y") / 100, F.lit(200.0)).alias("n"))
 
 
-@query()
+@query("SELECT sku, string_agg(CAST(CAST(round(y * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY date) AS cents, CAST(count(*) AS INTEGER) AS n FROM train GROUP BY 1", "train")
 def forecast_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every series as one ordered array with its length."""
-    return P.series(split(spark, sf_dir)[0]).withColumn("n", F.size("values"))
+    """Every series as one ordered array, told in hundredths, with its length."""
+    cents = F.transform("values", lambda y: F.round(y * 100).cast("long").cast("string"))
+    return P.series(split(spark, sf_dir)[0]).select("sku", F.array_join(cents, ",").alias("cents"), F.size("values").alias("n"))

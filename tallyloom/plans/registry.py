@@ -51,7 +51,7 @@ def with_parts(*names: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ", ".join(f"{n} AS ({PARTS[n]})" for n in order) + " "
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({PARTS[n]})" for n in order) + " "
 
 
 def query(sql: str | None = None, parts: str = "") -> Callable[[Callable], Callable]:

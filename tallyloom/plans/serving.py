@@ -49,11 +49,11 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.initcap("p_name").alias("query")).union(parts.select(F.concat(F.lit(" "), F.col("p_partkey").cast("string"), F.lit(". ")))).union(parts.select(F.concat_ws(" ", "p_type", "p_brand"))).union(parts.select(F.concat("p_name", F.lit(" discontinued")))).distinct()
 
 
-_ASKED = "asked AS (SELECT DISTINCT array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS query FROM part UNION SELECT ' ' || CAST(p_partkey AS VARCHAR) || '. ' FROM part UNION SELECT p_type || ' ' || p_brand FROM part)"
+_ASKED = "asked AS (SELECT DISTINCT array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS query FROM part UNION SELECT ' ' || CAST(p_partkey AS VARCHAR) || '. ' FROM part UNION SELECT p_type || ' ' || p_brand FROM part UNION SELECT p_name || ' discontinued' FROM part)"
 
 
 @query(
-    f"""WITH {_ASKED}, prod AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS id, {_NORM.format('p_name')} AS name, {_NORM.format("p_type || ' ' || p_brand")} AS alias FROM part WHERE p_partkey % 3 = 0),
+    f"""WITH {_ASKED}, prod AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS id, {_NORM.format('p_name')} AS name, {_NORM.format("p_type || ' ' || p_brand")} AS alias FROM part),
     rules AS (SELECT DISTINCT 1 AS rule, id AS norm, k FROM prod UNION SELECT 2, name, k FROM prod UNION SELECT 3, alias, k FROM prod),
     best AS (SELECT query, rule, count(*) AS n FROM (SELECT query, {_NORM.format('query')} AS norm FROM asked) JOIN rules USING (norm) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY rule) = 1)
     SELECT query, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CAST(coalesce(n, 0) AS INTEGER) AS n_keys FROM asked LEFT JOIN best USING (query)"""
@@ -75,7 +75,7 @@ def fuzzy_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH listed AS (SELECT DISTINCT upper(p_name) AS f FROM part WHERE p_name LIKE 'red%'), q AS (SELECT DISTINCT 'give me a forecast for ' || p_name AS query, upper(p_name) AS f FROM part)
+    """WITH listed AS (SELECT DISTINCT upper(p_name) AS f FROM part), q AS (SELECT DISTINCT 'give me a forecast for ' || p_name AS query, upper(p_name) AS f FROM part)
     SELECT query, f AS product_family_name, 'dropped' AS reason_type FROM q JOIN listed USING (f)"""
 )
 def unavailable_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def unavailable_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.unavailable(parts.select(F.concat(F.lit("give me a forecast for "), "p_name").alias("query")).distinct(), listed).select("query", "product_family_name", "reason_type")
 
 
-@query(f"WITH {_CANON} SELECT product_key, forecast_date, forecast_value FROM canon WHERE product_family_name LIKE 'blue%' QUALIFY row_number() OVER (PARTITION BY product_key ORDER BY forecast_date) <= 14", "naive")
+@query(f"WITH {_CANON} SELECT product_key, forecast_date, forecast_value FROM canon QUALIFY row_number() OVER (PARTITION BY product_key ORDER BY forecast_date) <= 14", "naive")
 def forecast_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = forecasts(spark, sf_dir)
     wanted = rows.select("product_key").distinct()

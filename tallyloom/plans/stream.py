@@ -25,7 +25,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.sessions(rows).select("user_id", F.unix_micros("session_start").alias("session_start"), "n", "value")
 
 
-@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: 0.8::DOUBLE * a + 0.2::DOUBLE * x), 6) AS level FROM events GROUP BY 1")
 def streaming_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     updates = Z.run_to_table(Z.smoothed_state(Z.first_seen(Z.events_stream(spark, f"{sf_dir}/events.parquet"))), "state", "update")
-    return updates.groupBy("user_id").agg(F.max("n").alias("n"))
+    return updates.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("level", "n"), 6).alias("level"))
