@@ -58,12 +58,6 @@ def lagged(panel: DataFrame, lags: tuple[int, ...] = (1, 7, 14, 28), windows: tu
     return panel.withColumns(columns | {"days_since_sale": days_since_sale(y)})
 
 
-def legacy_roll_mean(panel: DataFrame, w: int) -> Column:
-    """The mean over the last w lagged rows of the whole table in (sku, date) order, across skus: as some pipelines compute it. For
-    comparison only: it needs one global order, so it is no feature to train on."""
-    return F.avg(F.lag("y", 1).over(by())).over(Window.orderBy("sku", "date").rowsBetween(-(w - 1), 0))
-
-
 def zero_led(panel: DataFrame, windows: tuple[int, ...] = (7, 28)) -> DataFrame:
     """Means where the missing day before the first counts as a zero, of clipped values, with the sale rates."""
     first = panel.withColumn("__prev", lag(F.col("y"), 1, clip=True))
@@ -145,12 +139,19 @@ def proxies(future: DataFrame, known: DataFrame) -> DataFrame:
 def occurrence_proxies(future: DataFrame, train: DataFrame) -> DataFrame:
     """The same for sale flags: recent rates fade towards the training sale rate."""
     rn = F.row_number().over(Window.partitionBy("sku").orderBy(F.desc("date")))
-    rows = train.select("sku", sold(F.col("y")).alias("o"), rn.alias("rn"))
+    rows = train.select("sku", sold(F.col("y")).alias("o"), rn.alias("rn"), F.count("*").over(Window.partitionBy("sku")).alias("n"))
     rate = lambda k: F.avg(F.when(F.col("rn") <= k, F.col("o")))
     at = lambda k: F.coalesce(F.max(F.when(F.col("rn") == k, F.col("o"))), F.lit(0.0))
-    last = rows.groupBy("sku").agg(F.avg("o").alias("prior"), at(1).alias("lag_1"), at(7).alias("lag_7"), rate(7).alias("roll_7"), rate(14).alias("roll_14"), rate(28).alias("roll_28"))
+
+
+    def smoothed(span: int) -> Column:
+        """The last value of an exponential mean that begins with the first day: weights fall by the distance from the end."""
+        keep = 1 - 2 / (span + 1)
+        return F.sum(F.col("o") * F.when(F.col("rn") == F.col("n"), F.pow(F.lit(keep), F.col("rn") - 1)).otherwise((1 - keep) * F.pow(F.lit(keep), F.col("rn") - 1)))
+
+    last = rows.groupBy("sku").agg(smoothed(7).alias("ewm_7"), smoothed(28).alias("ewm_28"), F.avg("o").alias("prior"), at(1).alias("lag_1"), at(7).alias("lag_7"), rate(7).alias("roll_7"), rate(14).alias("roll_14"), rate(28).alias("roll_28"))
     base = horizon_index(future).join(last, "sku", "left")
-    return base.select("sku", "date", "h", *[decay(F.coalesce(n, F.lit(0.0)), F.coalesce("prior", F.lit(0.0)), OCCURRENCE_BETA[n], F.col("h")).alias(f"occ_{n}") for n in ("lag_1", "lag_7", "roll_7", "roll_14", "roll_28")])
+    return base.select("sku", "date", "h", *[decay(F.coalesce(n, F.lit(0.0)), F.coalesce("prior", F.lit(0.0)), OCCURRENCE_BETA[n], F.col("h")).alias(f"occ_{n}") for n in OCCURRENCE_BETA])
 
 
 def recency_weight(df: DataFrame, most: float = 2.0) -> DataFrame:

@@ -1,6 +1,6 @@
 """Learned demand models on Spark ML: two-stage boosted trees, a global boosted regression, a zero-inflated count model; and recursive
 forecasts by them. Fitting is distributed; a fitted model is small (trees as arrays, coefficients as numbers) and goes to the tasks
-that walk each series forward, one sku at a time, as every step needs the one before."""
+that walk series forward, a day at a time for many of them, as every step needs the one before."""
 
 from __future__ import annotations
 
@@ -24,6 +24,8 @@ from tallyloom.session import ship
 LAGS, WINDOWS = (1, 7, 14, 28), (7, 28)
 FEATURES = [*(f"lag_{k}" for k in LAGS), *(f"roll_mean_{w}" for w in WINDOWS), *(f"sale_rate_{w}" for w in WINDOWS), "days_since_sale", "dow", "month", "is_weekend", "is_q4"]
 KEPT = 28
+#: Series that step together in a task, about.
+SERIES = 500
 
 
 def training_rows(panel: DataFrame) -> DataFrame:
@@ -190,38 +192,56 @@ def fit_counts(rows: DataFrame, steps: int = 4, cap: float = 200.0, sample: int
         data.unpersist()
 
 
-def step_features(values: list[float], sold: list[int], day: pd.Timestamp) -> list[float]:
-    """FEATURES of the day after a history, as training_rows has them."""
-    n = len(values)
-    lags = [values[-k] if n >= k else 0.0 for k in LAGS]
-    means = [float(np.mean(values[-w:])) if n else 0.0 for w in WINDOWS]
-    rates = [float(np.mean(sold[-w:])) if n else 0.0 for w in WINDOWS]
-    since = next((float(k + 1) for k, s in enumerate(reversed(sold)) if s), float(H.NEVER))
-    return [*lags, *means, *rates, since, float(day.weekday()), float(day.month), float(day.weekday() >= 5), float(day.month >= 10)]
-
-
-def recursive(train: DataFrame, future: DataFrame, model: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], raw_state: bool = False) -> DataFrame:
-    """future's rows with pred and p_sale: each day's forecast becomes history of the next. Series are independent, so each is one
-    group of its own days; only as many last days as the features look at are kept. raw_state: the state takes forecasts
-    before the gate."""
+class Histories:
+    """The last KEPT values and sale flags of many series, right-aligned, with their lengths and the days since their last sales."""
+
+    def __init__(self, values: list[np.ndarray]) -> None:
+        self.n = np.array([len(v) for v in values])
+        self.values = np.stack([np.r_[np.zeros(max(0, KEPT - len(v))), v[-KEPT:]] for v in values]).astype(float)
+        self.sold = np.stack([np.r_[np.zeros(max(0, KEPT - len(v))), v[-KEPT:] > 0] for v in values]).astype(float)
+        self.since = np.array([float(len(v) - at[-1]) if len(at := np.flatnonzero(v > 0)) else float(H.NEVER) for v in values])
+
+    def features(self, of: np.ndarray, days: pd.DatetimeIndex) -> np.ndarray:
+        """FEATURES of the day after each history in of, as training_rows has them."""
+        n, values, sold_ = self.n[of], self.values[of], self.sold[of]
+        lags = [np.where(n >= k, values[:, -k], 0.0) for k in LAGS]
+        over = [np.maximum(np.minimum(n, w), 1) for w in WINDOWS]
+        means = [values[:, -w:].sum(1) / m for w, m in zip(WINDOWS, over, strict=True)]
+        rates = [sold_[:, -w:].sum(1) / m for w, m in zip(WINDOWS, over, strict=True)]
+        return np.stack([*lags, *means, *rates, self.since[of], days.weekday, days.month, days.weekday >= 5, days.month >= 10], 1).astype(float)
+
+    def append(self, of: np.ndarray, values: np.ndarray, sold: np.ndarray) -> None:
+        for held, new in ((self.values, values), (self.sold, sold.astype(float))):
+            held[of, :-1] = held[of, 1:]
+            held[of, -1] = new
+        self.n[of] += 1
+        self.since[of] = np.where(sold, 1.0, np.where(self.since[of] == H.NEVER, H.NEVER, self.since[of] + 1))
+
+
+def recursive(train: DataFrame, future: DataFrame, model: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], raw_state: bool = False, together: int = SERIES) -> DataFrame:
+    """future's rows with pred and p_sale: each day's forecast becomes history of the next. Series are independent: about `together` of them
+    form a group, which steps all of them a day at a time with one call of the model. Of each history only the last days and the
+    distance to its last sale are kept. raw_state: the state takes forecasts before the gate."""
     ship(train.sparkSession)
+    groups = max(1, -(-future.select("sku").distinct().count() // together))
     rows = train.select("sku", "date", "y", F.lit(False).alias("ahead")).unionByName(future.select("sku", "date", "y", F.lit(True).alias("ahead")))
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date")
+        group = group.sort_values(["sku", "date"])
         past, ahead = group[~group["ahead"]], group[group["ahead"]]
-        values = past["y"].astype(float).tolist()
-        sold = [int(v > 0) for v in values]
-        out = []
-        for day, actual in zip(pd.to_datetime(ahead["date"]), ahead["y"], strict=True):
-            features = np.array([step_features(values[-KEPT:], sold, day)])
-            pred, p = model(features)
-            out.append((group["sku"].iloc[0], day.date(), float(actual), float(pred[0]), float(p[0])))
-            values.append(float(p[0] * pred[0]) if raw_state and pred[0] == 0 else float(pred[0]))
-            sold.append(int(pred[0] > 0))
-        return pd.DataFrame(out, columns=["sku", "date", "y", "pred", "p_sale"])
-
-    return rows.groupBy("sku").applyInPandas(each, "sku string, date date, y double, pred double, p_sale double")
+        known = dict(iter(past.groupby("sku")["y"]))
+        names = ahead["sku"].unique()
+        state = Histories([known[s].to_numpy(float) if s in known else np.zeros(0) for s in names])
+        of, step = pd.Categorical(ahead["sku"], names).codes.astype(int), ahead.groupby("sku").cumcount().to_numpy()
+        days, preds, ps = pd.DatetimeIndex(ahead["date"]), np.zeros(len(ahead)), np.zeros(len(ahead))
+        for t in range(int(step.max(initial=-1)) + 1):
+            at = np.flatnonzero(step == t)
+            pred, p = model(state.features(of[at], days[at]))
+            preds[at], ps[at] = pred, p
+            state.append(of[at], np.where(pred == 0, p * pred, pred) if raw_state else pred, pred > 0)
+        return pd.DataFrame({"sku": ahead["sku"], "date": ahead["date"], "y": ahead["y"].astype(float), "pred": preds, "p_sale": ps})
+
+    return rows.groupBy(F.pmod(F.xxhash64("sku"), F.lit(groups)).alias("group")).applyInPandas(each, "sku string, date date, y double, pred double, p_sale double")
 
 
 def score(rows: DataFrame, model: TwoStage) -> DataFrame:

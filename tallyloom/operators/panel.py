@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,23 @@ def fraction_split(panel: DataFrame, fraction: float = 0.8) -> DataFrame:
     return panel.join(F.broadcast(cut), how="cross").withColumn("is_valid", F.col("date") > F.col("__cut")).drop("__cut")
 
 
+def clamped_holdout(n: Column, wanted: int = 42, least: int = 14, minimum: int = 56) -> Column:
+    """Days to hold out of n: as many as wanted, at most a third, at least `least`; null if there are fewer than minimum."""
+    return F.when(n >= minimum, F.greatest(F.lit(least), F.least(F.lit(wanted), F.floor(n / 3)))).cast("int")
+
+
+def shrinking_holdout(n: Column, wanted: int = 42, spare: int = 14, least: int = 7) -> Column:
+    """Days to hold out of n: as many as wanted, or a fifth of them (at least `least`) where hardly more than those would be left."""
+    return F.when(n <= wanted + spare, F.greatest(F.lit(least), F.floor(n / 5))).otherwise(wanted).cast("int")
+
+
+def holdout(panel: DataFrame, days: Callable[[Column], Column], name: str = "is_valid") -> DataFrame:
+    """panel with a flag: whether a row is one of the last days(n) of its sku's n rows; false where days(n) is null."""
+    own = Window.partitionBy("sku")
+    ranked = panel.withColumns({"__r": F.row_number().over(own.orderBy(F.desc("date"))), "__n": F.count("*").over(own)})
+    return ranked.withColumn(name, F.coalesce(F.col("__r") <= days(F.col("__n")), F.lit(False))).drop("__r", "__n")
+
+
 def series(panel: DataFrame, order: str = "date", value: str = "y") -> DataFrame:
     """sku and its values as one array in order."""
     return panel.groupBy("sku").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias("values"))

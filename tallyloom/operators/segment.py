@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +59,19 @@ def kmeans(rows: DataFrame, columns: list[str], k: int, starts: int = 10, seed:
     return best.transform(data).drop("__v"), best.summary.trainingCost
 
 
+def sweep(rows: DataFrame, columns: list[str], counts: range, seed: int = 42) -> DataFrame:
+    """k, inertia and silhouette (squared distances) of one k-means fit for each number of clusters."""
+    data = VectorAssembler(inputCols=columns, outputCol="__v", handleInvalid="skip").transform(rows).select("__v").persist()
+    try:
+        out = []
+        for k in counts:
+            fit = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="__c").fit(data)
+            out.append((k, float(fit.summary.trainingCost), float(ClusteringEvaluator(featuresCol="__v", predictionCol="__c").evaluate(fit.transform(data)))))
+        return rows.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
+    finally:
+        data.unpersist()
+
+
 def gaussian_mixture(rows: DataFrame, columns: list[str], k: int, seed: int = 42) -> tuple[DataFrame, float]:
     """rows with cluster_gmm, and the fit's BIC."""
     data = VectorAssembler(inputCols=columns, outputCol="__v", handleInvalid="skip").transform(rows)

@@ -157,30 +157,54 @@ def chart(history: DataFrame, forecasts: DataFrame) -> DataFrame:
 
 
 def summary(forecasts: DataFrame) -> DataFrame:
-    """A sentence per product: total, mean, first, last, trend."""
+    """A row per product: days, total, mean, first, last, days without demand, mean probability of a sale, trend, and these as a sentence."""
     a, b = F.min_by("forecast_value", "forecast_date"), F.max_by("forecast_value", "forecast_date")
-    rows = forecasts.groupBy("product_key").agg(F.count("*").alias("n"), F.sum("forecast_value").alias("total"), F.avg("forecast_value").alias("mean"), a.alias("a"), b.alias("b"))
-    trend = F.when(F.col("b") > F.col("a") * 1.1, "upward").when(F.col("a") > F.col("b") * 1.1, "downward").otherwise("stable")
-    return rows.select("product_key", trend.alias("trend"), F.format_string("%d days: %.2f in total, %.2f a day, from %.2f to %.2f, %s", F.col("n").cast("int"), "total", "mean", "a", "b", trend).alias("summary"))
+    rows = forecasts.groupBy("product_key").agg(
+        F.count("*").alias("n_days"), F.sum("forecast_value").alias("total"), F.avg("forecast_value").alias("mean"), a.alias("first"), b.alias("last"),
+        F.count_if(F.col("forecast_value") == 0).alias("zero_days"), F.avg("p_sale").alias("p_sale"),
+    )
+    trend = F.when(F.col("last") > F.col("first") * 1.1, "upward").when(F.col("first") > F.col("last") * 1.1, "downward").otherwise("stable")
+    told = F.format_string("%d days: %.2f in total, %.2f a day, from %.2f to %.2f, %s; %d days without demand", F.col("n_days").cast("int"), "total", "mean", "first", "last", trend, F.col("zero_days").cast("int"))
+    chance = F.coalesce(F.format_string("; a sale on %.0f %% of days", F.col("p_sale") * 100), F.lit(""))
+    return rows.withColumn("trend", trend).withColumn("summary", F.concat(told, F.when(F.col("p_sale").isNull(), "").otherwise(chance)))
+
+
+#: Words of a request that are no part of a product's name.
+REQUEST_VERBS = ("show", "give", "tell", "get")
+REQUEST_WORDS = ("weekly", "daily", "forecast", "latest", "future", "next", "product", "for", "about")
+UNITS = r"^(?:days?|weeks?|months?|[dwm])$"
 
 
 def parse_requests(queries: DataFrame) -> DataFrame:
     """query, horizon_days, granularity and product_query of requests in plain words. A number of days goes before weeks, these before
-    months; the product is a stated code, else what is quoted, else what is left without the words around it."""
+    months; the product is a stated code, else what is quoted, else the words that are left: those that are no number with its unit, no
+    request word, no verb with its "me" at the beginning, and no article before them."""
     q = F.trim(F.coalesce("query", F.lit("")))
     low = F.lower(q)
     number = lambda unit: F.nullif(F.regexp_extract(low, rf"(\d+)\s*{unit}\b", 1), F.lit("")).try_cast("int")
     days, weeks, months = number("(?:days?|d)"), number("(?:weeks?|w)"), number("(?:months?|m)")
     horizon = F.coalesce(days, weeks * 7, months * 30, F.lit(DEFAULT_HORIZON))
     grain = F.when(low.rlike(r"weekly|per week"), "weekly").when(low.rlike(r"daily|per day"), "daily").when(days.isNull() & weeks.isNotNull(), "weekly").otherwise("daily")
-    code = F.regexp_extract(q, r"(?i)\b(?:stock\s*code|product\s*id|id)\s*[:#]?\s*([A-Z0-9][A-Z0-9-]*)", 1)
-    quoted = F.regexp_extract(q, "[\"']([^\"']+)[\"']", 1)
-    bare = q
-    for pattern in (r"(?i)\b(?:for\s+)?(?:the\s+)?(?:next\s+)?\d+\s*(?:days?|weeks?|months?|d|w)\b", r"(?i)^\s*(?:please\s+)?(?:can you\s+)?(?:show|give|tell|get)\s+me\s+", r"(?i)\b(?:weekly|daily|forecast|latest|future|next|per week|per day|product)\b", r"(?i)\b(?:for|about)\b", r"[,:;?]+"):
-        bare = F.regexp_replace(bare, pattern, " ")
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(bare, r"\s+", " ")), r"(?i)^(?:(?:a|an|the)\s+)+", ""), r"[\s-]+$", ""))
-    product = F.coalesce(F.nullif(code, F.lit("")), F.nullif(quoted, F.lit("")), bare)
-    return queries.select("query", F.least(F.greatest(horizon, F.lit(1)), F.lit(LONGEST_HORIZON)).alias("horizon_days"), grain.alias("granularity"), product.alias("product_query"))
+    told = queries.select("query", F.least(F.greatest(horizon, F.lit(1)), F.lit(LONGEST_HORIZON)).alias("horizon_days"), grain.alias("granularity"), F.filter(F.split(F.regexp_replace(q, "[,:;?#]", " "), r"\s+"), lambda t: t != "").alias("t"), F.get(F.split(q, "[\"']"), F.lit(1)).alias("quoted"), F.size(F.split(q, "[\"']")).alias("quotes"))
+    word = lambda k: F.lower(F.coalesce(F.get("t", k), F.lit("")))
+    names_code = lambda t, i: (F.lower(t).isin("id", "stockcode") | ((F.lower(t) == "code") & (word(i - 1) == "stock"))) & F.coalesce(F.get("t", i + 1), F.lit("")).rlike("(?i)^[A-Z0-9][A-Z0-9-]*")
+    at = F.get(F.filter(F.transform("t", lambda t, i: F.when(names_code(t, i), i + 1)), lambda k: k.isNotNull()), F.lit(0))
+    code = F.regexp_extract(F.get("t", at), "(?i)^[A-Z0-9][A-Z0-9-]*", 0)
+
+    def unneeded(t: Column, i: Column) -> Column:
+        own, after, before = F.lower(t), word(i + 1), word(i - 1)
+        counted = own.rlike(r"^\d+(?:days?|weeks?|months?|[dwm])$") | (own.rlike(r"^\d+$") & after.rlike(UNITS)) | (own.rlike(UNITS) & before.rlike(r"^\d+$"))
+        asking = own.isin(*REQUEST_WORDS) | ((own == "per") & after.isin("week", "day")) | (own.isin("week", "day") & (before == "per"))
+        leading = (own.isin(*REQUEST_VERBS) & (after == "me") & (i <= 3)) | ((own == "me") & before.isin(*REQUEST_VERBS) & (i <= 4)) | ((i == 0) & (own == "please")) | ((i <= 2) & (own.isin("can", "you")) & (after.isin("you", *REQUEST_VERBS)))
+        return counted | asking | leading | ((own == "the") & (after == "next"))
+
+    left = F.filter("t", lambda t, i: ~unneeded(t, i))
+    rest = told.withColumns({"code": code, "left": left})
+    article = lambda t: F.lower(t).isin("a", "an", "the")
+    begin = F.coalesce(F.get(F.filter(F.transform("left", lambda t, i: F.when(~article(t), i)), lambda k: k.isNotNull()), F.lit(0)), F.size("left"))
+    bare = F.regexp_replace(F.array_join(F.slice("left", begin + 1, F.greatest(F.size("left"), F.lit(1))), " "), r"[\s-]+$", "")
+    product = F.coalesce(F.nullif("code", F.lit("")), F.when(F.col("quotes") > 2, F.nullif("quoted", F.lit(""))), bare)
+    return rest.select("query", "horizon_days", "granularity", product.alias("product_query"))
 
 
 def answer(queries: DataFrame, products: DataFrame, listed: DataFrame) -> DataFrame:

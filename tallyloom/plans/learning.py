@@ -26,20 +26,35 @@ def kmeans_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.shifted_profiles(rows.join(labelled.select("sku", "cluster_kmeans"), "sku"), "cluster_kmeans", columns))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Embeddings with a column per dimension, and those columns' names."""
+    rows = table(spark, sf_dir, "embeddings")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    columns = [f"e{k}" for k in range(width)]
+    return rows.select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(columns)]), columns
+
+
 @query()
 def gmm_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BIC of Gaussian mixtures over the first dimensions of the embeddings, by number of parts."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(4)]).persist()
-    found = [(k, float(G.gaussian_mixture(rows, [f"e{i}" for i in range(4)], k)[1])) for k in (2, 3, 4)]
+    """BIC of Gaussian mixtures over all dimensions of the embeddings, by number of parts."""
+    rows, columns = vectors(spark, sf_dir)
+    rows = rows.persist()
+    found = [(k, float(G.gaussian_mixture(rows, columns, k)[1])) for k in (2, 3, 4)]
     rows.unpersist()
     return spark.createDataFrame(found, "k int, bic double")
 
 
+@query()
+def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inertia and silhouette of k-means over the embeddings, for 2 to 18 clusters."""
+    rows, columns = vectors(spark, sf_dir)
+    return G.sweep(rows, columns, range(2, 19))
+
+
 @query()
 def cluster_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjusted Rand index between k-means labellings of the embeddings from different seeds."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(4)])
-    columns = [f"e{i}" for i in range(4)]
+    rows, columns = vectors(spark, sf_dir)
     labels = [G.kmeans(rows, columns, 4, starts=1, seed=s)[0].select("vec_id", F.col("cluster_kmeans").alias(f"s{s}")) for s in (1, 2, 3)]
     both = labels[0].join(labels[1], "vec_id").join(labels[2], "vec_id")
     out = None

@@ -164,13 +164,14 @@ def proxy_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.proxies(test, H.profile(train)), 4)
 
 
-_O = ", ".join(f"round({n} * pow({b}, h) + prior * (1 - pow({b}, h)), 6) AS occ_{n}" for n, b in H.OCCURRENCE_BETA.items() if not n.startswith("ewm"))
+_O = ", ".join(f"round({n} * pow({b}, h) + prior * (1 - pow({b}, h)), 6) AS occ_{n}" for n, b in H.OCCURRENCE_BETA.items())
+_EWM = ", ".join(f"sum(o * CASE WHEN rn = n THEN pow({k}::DOUBLE, rn - 1) ELSE {1 - k}::DOUBLE * pow({k}::DOUBLE, rn - 1) END) AS ewm_{s}" for s, k in ((7, 0.75), (28, 1 - 2 / 29)))
 
 
 @query(
     f"""SELECT sku, date, CAST(h AS INTEGER) AS h, {_O} FROM (SELECT sku, date, row_number() {_W}) AS h FROM test)
-    JOIN (SELECT sku, avg(o) AS prior, max(o) FILTER (WHERE rn = 1) AS lag_1, max(o) FILTER (WHERE rn = 7) AS lag_7, avg(o) FILTER (WHERE rn <= 7) AS roll_7, avg(o) FILTER (WHERE rn <= 14) AS roll_14, avg(o) FILTER (WHERE rn <= 28) AS roll_28
-        FROM (SELECT *, CASE WHEN y > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS o, row_number() OVER (PARTITION BY sku ORDER BY date DESC) AS rn FROM train) GROUP BY 1) USING (sku)""",
+    JOIN (SELECT sku, avg(o) AS prior, max(o) FILTER (WHERE rn = 1) AS lag_1, max(o) FILTER (WHERE rn = 7) AS lag_7, avg(o) FILTER (WHERE rn <= 7) AS roll_7, avg(o) FILTER (WHERE rn <= 14) AS roll_14, avg(o) FILTER (WHERE rn <= 28) AS roll_28, {_EWM}
+        FROM (SELECT *, CASE WHEN y > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS o, row_number() OVER (PARTITION BY sku ORDER BY date DESC) AS rn, count(*) OVER (PARTITION BY sku) AS n FROM train) GROUP BY 1) USING (sku)""",
     "train test",
 )
 def occurrence_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,3 +207,15 @@ def recency_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(sum(CASE WHEN date > c THEN 1 ELSE 0 END) AS BIGINT) AS n_valid, CAST(count(*) AS BIGINT) AS n_rows FROM panel, (SELECT max(date) AS c FROM (SELECT date, row_number() OVER (ORDER BY date) AS r, count(*) OVER () AS n FROM spine) WHERE r <= floor(n * 0.8))", "panel spine")
 def split_by_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.fraction_split(dense(spark, sf_dir)).agg(F.count_if("is_valid").alias("n_valid"), F.count("*").alias("n_rows"))
+
+
+@query(
+    """SELECT sku, CAST(n AS BIGINT) AS n, CAST(CASE WHEN n < 56 THEN 0 ELSE greatest(14, least(42, n // 3)) END AS BIGINT) AS n_clamped, CAST(CASE WHEN n <= 56 THEN least(n, greatest(7, n // 5)) ELSE 42 END AS BIGINT) AS n_shrunk
+    FROM (SELECT stock_code AS sku, count(DISTINCT date) AS n FROM tx GROUP BY 1)""",
+    "tx",
+)
+def holdouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many days each product's own series keeps for validation, by two rules."""
+    rows = retail_tx(spark, sf_dir).select(F.col("stock_code").alias("sku"), "date").distinct()
+    flagged = P.holdout(P.holdout(rows, P.clamped_holdout, "clamped"), P.shrinking_holdout, "shrunk")
+    return flagged.groupBy("sku").agg(F.count("*").alias("n"), F.count_if("clamped").alias("n_clamped"), F.count_if("shrunk").alias("n_shrunk"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import normalize_text, product_key
+from tallyloom.operators import learned as L
 from tallyloom.operators import serving as V
 from tallyloom.operators import univariate as U
-from tallyloom.plans.panels import split
+from tallyloom.operators.panel import future_grid
+from tallyloom.plans.panels import dense, split
 from tallyloom.plans.registry import query
 from tallyloom.sources.retail import retail_tx, table
 
@@ -105,9 +107,13 @@ def chart_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.chart(recent, forecasts(spark, sf_dir))
 
 
-@query(f"WITH {_CANON}, e AS (SELECT product_key, min_by(forecast_value, forecast_date) AS a, max_by(forecast_value, forecast_date) AS b FROM canon GROUP BY 1) SELECT product_key, CASE WHEN b > a * 1.1 THEN 'upward' WHEN a > b * 1.1 THEN 'downward' ELSE 'stable' END AS trend FROM e", "naive")
+@query(
+    f"""WITH {_CANON}, e AS (SELECT product_key, count(*) AS n_days, sum(forecast_value) AS total, avg(forecast_value) AS mean, min_by(forecast_value, forecast_date) AS first, max_by(forecast_value, forecast_date) AS last, count(*) FILTER (WHERE forecast_value = 0) AS zero_days, avg(p_sale) AS p_sale FROM canon GROUP BY 1)
+    SELECT product_key, CAST(n_days AS BIGINT) AS n_days, round(total, 2) AS total, round(mean, 4) AS mean, first, last, CAST(zero_days AS BIGINT) AS zero_days, CAST(p_sale AS DOUBLE) AS p_sale, CASE WHEN last > first * 1.1 THEN 'upward' WHEN first > last * 1.1 THEN 'downward' ELSE 'stable' END AS trend FROM e""",
+    "naive",
+)
 def forecast_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.summary(forecasts(spark, sf_dir)).select("product_key", "trend")
+    return V.summary(forecasts(spark, sf_dir)).select("product_key", "n_days", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"), "first", "last", "zero_days", "p_sale", "trend")
 
 
 @query(
@@ -118,3 +124,43 @@ def parse_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     one = F.concat(F.lit("Show me the next "), (F.col("p_size") % 12 + 1).cast("string"), F.lit(" weeks for stock code "), F.col("p_partkey").cast("string"))
     return V.parse_requests(parts.select(one.alias("query")).distinct().union(parts.select(F.concat(F.lit("Give me a daily forecast for "), F.upper("p_name"))).distinct()))
+
+
+@query()
+def resolve_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cascade over part names as people write them: exact rules, then the nearest names with their margin."""
+    return V.resolve(asked(spark, sf_dir), products(spark, sf_dir))
+
+
+@query()
+def answer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each request gets: a product, an unavailable one, several that it may mean, or none."""
+    known = products(spark, sf_dir)
+    kinds = table(spark, sf_dir, "part").select(F.upper(F.concat_ws(" ", "p_type", "p_brand")).alias("name")).distinct()
+    listed = kinds.select(F.col("name").alias("product_family_name"), normalize_text(F.col("name")).alias("normalized_product_name"), F.lit("").alias("product_id_norm"), F.array().cast("array<string>").alias("search_aliases_norm"), F.lit("dropped").alias("reason_type"))
+    return V.answer(asked(spark, sf_dir), known, listed)
+
+
+_FUTURE = """future AS (SELECT sku, CAST(last + h AS DATE) AS date, h FROM (SELECT DISTINCT sku FROM daily) CROSS JOIN (SELECT max(date) AS last FROM daily) CROSS JOIN (SELECT CAST(unnest(range(1, 91)) AS INTEGER) AS h)),
+    week AS (SELECT sku, y, 8 - row_number() OVER (PARTITION BY sku ORDER BY date DESC) AS k FROM panel QUALIFY k >= 1)"""
+
+
+@query(
+    f"""WITH {_IDS}, {_FUTURE} SELECT {_KEY} AS product_key, sku AS product_family_name, product_id, CAST(1 AS INTEGER) AS cluster, 'naive7' AS model_id, 'Weekly pattern' AS model_name, future.date AS forecast_date, greatest(y, 0) AS forecast_value, CAST(NULL AS DOUBLE) AS p_sale, '{BUILT}' AS generated_at
+    FROM future JOIN week USING (sku) JOIN ids USING (sku) WHERE week.k = (h - 1) % 7 + 1""",
+    "panel",
+)
+def future_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical forecasts of the 90 days after all that is known."""
+    panel = dense(spark, sf_dir)
+    pred = U.naive7(panel, future_grid(panel, V.LONGEST_HORIZON)).withColumnRenamed("sku", "product_family_name").drop("y")
+    return V.canonical(pred, 1, BUILT, metadata(spark, sf_dir), NAIVE)
+
+
+@query()
+def future_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """90 days ahead by occurrence and size trees fitted on all known days, recursively, in the canonical form."""
+    panel = dense(spark, sf_dir)
+    model = L.fit_two_stage(L.training_rows(panel), tau=0.25)
+    pred = L.recursive(panel, future_grid(panel, V.LONGEST_HORIZON), model).drop("y").withColumnsRenamed({"sku": "product_family_name", "pred": "pred_two_stage_lgbm"})
+    return V.canonical(pred, 0, BUILT, metadata(spark, sf_dir))

@@ -198,11 +198,15 @@ def test_gates_and_weights(spark):
     assert [r.c for r in values.select(post.clean(F.col("v"), 0.5, F.lit(5.0)).alias("c")).collect()] == [0, 0, 0, 0, 5.0]
 
 
+def step_features(past, day):
+    return L.Histories([np.array(past, float)]).features(np.array([0]), pd.DatetimeIndex([day]))[0]
+
+
 def test_training_and_step_features_agree(panel):
     rows = L.training_rows(panel).where("sku = 'dense'").orderBy("date").collect()
     for t in (0, 1, 8, 40, 59):
         past = SERIES["dense"][:t].tolist()
-        want = L.step_features(past[-L.KEPT :], [int(v > 0) for v in past], pd.Timestamp(START) + pd.Timedelta(days=t))
+        want = step_features(past, pd.Timestamp(START) + pd.Timedelta(days=t))
         assert np.allclose([rows[t][c] for c in L.FEATURES], want)
 
 
@@ -224,10 +228,32 @@ def test_recursive_forecasts(spark, panel):
     assert all(alone[(r.sku, r.date)] == r.pred for r in rows if r.sku == "dense")
 
 
+def test_series_step_together_as_they_do_alone(spark, panel):
+    """Batches of any size, with series of several lengths and one without history, give the same forecasts."""
+    model = L.fit_two_stage(L.training_rows(panel), trees=3, depth=3, tau=0.1)
+    ahead = future(spark).unionByName(future(spark).where("sku = 'dense'").withColumn("sku", F.lit("new")))
+    some = panel.where("sku <> 'dense' OR date > '2024-01-20'")
+    rows = [{(r.sku, r.date): (r.pred, r.p_sale) for r in L.recursive(some, ahead, model, together=n).collect()} for n in (500, 1)]
+    assert rows[0] == rows[1] and any(k[0] == "new" for k in rows[0])
+
+
+@pytest.mark.parametrize("n, clamped, shrunk", [(1, None, 7), (20, None, 7), (55, None, 11), (56, 18, 11), (57, 19, 42), (125, 41, 42), (300, 42, 42)])
+def test_holdouts(spark, n, clamped, shrunk):
+    row = spark.range(1).select(P.clamped_holdout(F.lit(n)).alias("a"), P.shrinking_holdout(F.lit(n)).alias("b")).first()
+    assert (row.a, row.b) == (clamped, shrunk)
+
+
+def test_cluster_sweep(spark):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(float(x), float(y)) for c in ((0, 0), (9, 0), (0, 9)) for x, y in rng.normal(c, 0.3, (30, 2))], "x double, y double")
+    found = G.sweep(rows, ["x", "y"], range(2, 6)).collect()
+    assert [r.k for r in found] == [2, 3, 4, 5] and max(found, key=lambda r: r.silhouette).k == 3 and found[0].inertia > found[1].inertia
+
+
 def test_count_model(spark, panel):
     counts = panel.withColumn("y", F.greatest(F.round("y"), F.lit(0.0)))
     model = L.fit_counts(L.training_rows(counts), steps=2)
-    pred, p = model(np.array([L.step_features(SERIES["dense"].tolist(), [1] * 60, pd.Timestamp(2024, 3, 1)), L.step_features([0.0] * 60, [0] * 60, pd.Timestamp(2024, 3, 1))]))
+    pred, p = model(np.array([step_features(SERIES["dense"].tolist(), pd.Timestamp(2024, 3, 1)), step_features([0.0] * 60, pd.Timestamp(2024, 3, 1))]))
     assert p[0] > p[1] and pred[0] > pred[1] >= 0 and model.alpha >= 0
 
 
