@@ -209,9 +209,10 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, loaded: DataFrame, sequence: str = "sequence") -> DataFrame:
-    """A row for each media element of sequences' rows: their other columns, position, ref, caption, n_elements, digest and what is
+    """A row for each media element of sequences' rows: their other columns (but those named as an output), position, ref, caption, n_elements, digest and what is
     stored under it (nulls if nothing is)."""
-    others = [c for c in sequences.columns if c != sequence]
+    made = {"n_elements", "position", "ref", "caption", *(c.lower() for c in loaded.columns)}
+    others = [c for c in sequences.columns if c != sequence and c.lower() not in made]
     media = sequences.select(*others, F.size(sequence).alias("n_elements"), F.explode(F.filter(sequence, lambda e: e["kind"] == "media")).alias("e"))
     told = media.select(*others, "n_elements", "e.position", "e.ref", "e.caption", F.when(F.col("e.ref").startswith(SCHEME), F.substring("e.ref", len(SCHEME) + 1, 64)).alias("digest"))
     return told.join(loaded, "digest", "left")
@@ -236,3 +237,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resolve(interleave(pages, keep=["doc_id", "n_bytes"]), loaded)
     feature = F.concat_ws(" ", "look", F.concat(F.lit("at="), "position", F.lit("/"), "n_elements"), F.concat(F.lit("caption="), "caption"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of pages as its ordered elements, with their numbers by kind and the characters of text."""
+    found = interleave(table(spark, sf_dir, "pages").select("page_id", "html"), keep=["page_id"])
+    of = lambda kind: F.filter("sequence", lambda e: e["kind"] == kind)
+    chars = F.aggregate(of("text"), F.lit(0).cast("long"), lambda n, e: n + F.length(e["text"]))
+    return found.select("page_id", "sequence", F.size(of("text")).cast("long").alias("n_text"), F.size(of("media")).cast("long").alias("n_media"), chars.alias("text_chars"))

@@ -3,7 +3,9 @@
 import base64
 import gzip
 import hashlib
+import re
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -64,6 +66,21 @@ def test_warc_is_deterministic_and_well_formed(spark):
     assert fields["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
+def test_two_runs_over_many_pages_write_equal_files(spark):
+    """Bounds come from sums, not from samples: over thousands of pages, in other partitions, with a key and null keys of many rows."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    hot = pages.withColumn("page_id", F.expr("CASE page_id % 3 WHEN 0 THEN 7 WHEN 1 THEN page_id ELSE -9000000000000000000 + page_id END")).union(pages.withColumn("page_id", F.lit(None).cast("long")))
+    for df, least in ((pages, 10), (hot, 30)):
+        digests = []
+        for k in (1, 5):
+            path = fresh_path(spark, "warc")
+            listed = warc.write(df.repartition(k), path, shard_bytes=300_000).collect()
+            system, root = files.place(path)
+            digests.append({m.file: hashlib.sha1(system.open_input_stream(f"{root}/{m.file}", compression=None).read()).hexdigest() for m in listed})
+            assert sum(m.records for m in listed) == df.count()
+        assert digests[0] == digests[1] and len(digests[0]) >= least
+
+
 def test_damaged_records_raise():
     data = warc.record(1, "u", b"payload" * 300, None)
     with pytest.raises(ValueError):
@@ -110,6 +127,28 @@ def test_media_resolve_by_digest(spark):
     assert [(r.position, r.caption, r.payload_sha256) for r in rows] == [(1, "k", known), (2, "u", None), (3, None, None)]
 
 
+def test_media_of_rows_with_clashing_columns(spark):
+    path = media.store(spark.createDataFrame([(1, b"abc")], "doc_id long, raw binary").withColumn("payload", media.padded(F.col("raw"))))
+    digest = hashlib.sha256(b"abc" + b"\xff" * 573).hexdigest()
+    pages = spark.createDataFrame([(1, f'<img src="{media.SCHEME}{digest}" alt="k">', *["x"] * 6)], "page_id long, html string, digest string, position string, ref string, caption string, n_elements string, source string")
+    rows = media.resolve(media.interleave(pages), media.load(spark, path))
+    assert sorted(rows.columns) == sorted({*rows.columns}) and "source" in rows.columns
+    assert [(r.digest, r.position, r.n_elements, r.caption, r.payload_bytes) for r in rows.collect()] == [(digest, 0, 1, "k", 576)]
+
+
+def test_page_sequences(spark, small):
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    rows = media.page_sequences(spark, small).collect()
+    assert len(rows) == len(html)
+    for r in rows:
+        assert [e.position for e in r.sequence] == list(range(len(r.sequence))) and r.n_text + r.n_media == len(r.sequence)
+        assert r.text_chars == sum(len(e.text) for e in r.sequence if e.kind == "text")
+        # every word outside tags and silent elements is there, in order
+        bare = re.sub(r"(?is)<(script|style|title|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[!?][^>]*>", " ", html[r.page_id] or "")
+        told = unescape(re.sub(r"<[^>]*>", " ", bare)).split()
+        assert "".join(w for e in r.sequence for w in ((e.text or "") if e.kind == "text" else "").split()) == "".join(told) or r.n_media
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(max_size=2000))
 def test_png_round_trip(data):

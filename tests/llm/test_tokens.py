@@ -122,3 +122,27 @@ def test_queries_over_the_smallest_tables(spark, small, encoder):
         ids = np.array(encoder.encode_ordinary(d.text or ""), "<u4")
         r = got[d.doc_id]
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((d.text or "").encode()).hexdigest())
+
+
+RUNS = {"spaces": " " * 1_000_000, "lines": "a" + "\n" * 1_000_000, "tabs": "\t" * 1_000_000 + " x", "letters": "".join(np.random.default_rng(1).choice(list("etaoinshrdlu"), 1_000_000)), "digits": "".join(np.random.default_rng(2).choice(list("0123456789"), 1_000_000)), "marks": "!" * 1_000_000}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_runs_of_a_million_characters(name, encoder):
+    """They neither overflow a stack nor take quadratic time; shorter runs equal the libraries."""
+    codec, rules, library = byte_bpe.Codec(byte_bpe.RANKS, public_tokenizers.PATTERN), token_counts.merges(token_counts.TOKENIZER), Tokenizer.from_file(token_counts.TOKENIZER)
+    n, ids = codec.encode(pa.array([RUNS[name]]))
+    assert bytes(codec.decode(ids, np.array([0, len(ids)]))[0].as_py()) == RUNS[name].encode()
+    assert token_counts.chunk_counts([RUNS[name].encode()], rules).tolist() == n.tolist()
+    part = RUNS[name][:30_000] + RUNS[name][-30_000:]
+    assert codec.encode(pa.array([part]))[1].tolist() == encoder.encode_ordinary(part)
+    assert token_counts.chunk_counts([part.encode()], rules).tolist() == [len(library.encode(part, add_special_tokens=False).ids)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abAB eiou.,'\n🙂é", min_size=1, max_size=200))
+def test_linked_merging_equals_rounds(text):
+    rules = token_counts.merges(token_counts.TOKENIZER)
+    data = rules.of_byte[np.frombuffer(text.encode() * 2, np.uint8)]
+    sizes = np.array([len(text.encode())] * 2)
+    assert rules.count_long(data.copy(), sizes).tolist() == rules.count(data, sizes).tolist()
