@@ -30,6 +30,9 @@ def local_session(cpus: int = 8, app: str = "tallyloom", **conf: str) -> SparkSe
     return builder.getOrCreate()
 
 
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
 
@@ -46,7 +49,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete what fresh_path() named since the last call: intermediate tables and files. For after a result was written elsewhere, as
+    results are lazy and may still read them. Returns how many there were."""
+    gone = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
