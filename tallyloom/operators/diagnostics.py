@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.metrics import ape, bias, wmape
+from tallyloom.operators.panel import periods
 
 QUANTILES = (0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -100,3 +101,36 @@ def shift_stats(df: DataFrame, columns: list[str], split: str = "split", clip: f
 def long_methods(df: DataFrame, keys: list[str], methods: list[str]) -> DataFrame:
     """keys, method, pred from one column per method."""
     return df.unpivot(keys, methods, "method", "pred")
+
+
+def labelled_methods(df: DataFrame, labels: dict[str, str], method: str = "method") -> DataFrame:
+    """df with method names as readers know them; a name without a label loses its "pred_" and underscores."""
+    own = F.col(method)
+    bare = F.initcap(F.replace(F.regexp_replace(own, "^pred_", ""), F.lit("_"), F.lit(" ")))
+    known = bare
+    for name, label in labels.items():
+        known = F.when(own == name, label).otherwise(known)
+    return df.withColumn(method, known)
+
+
+def analysis(df: DataFrame, methods: list[str], p_sale: str | None = None, n_periods: int = 4, eps: float = 1.0) -> dict[str, DataFrame]:
+    """The tables of one evaluation, each described and none computed: of rows sku, date, y and a column per method, by method."""
+    keys = ["sku", "date", "y", *([p_sale] if p_sale else [])]
+    rows = long_methods(df, keys, methods).join(F.broadcast(periods(df, n_periods)), "date")
+    by_method = rows.withColumn("whole", F.concat_ws(" ", "method", "period"))
+    first = rows.where(F.col("method") == methods[0])
+    return {
+        "methods": method_table(rows, eps),
+        "periods": rows.groupBy("method", "period").agg(wmape(F.col("y"), F.col("pred"), eps).alias("wmape"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae"), F.count("*").alias("n")),
+        "quantiles": error_quantiles(rows, ["method"], eps=eps),
+        "positive_quantiles": error_quantiles(rows.where("y > 0"), ["method"], eps=eps),
+        "confusion": confusion(by_method, "whole"),
+        "states": error_by_state(first, eps),
+        "rolling": rolling_errors(daily(rows, "method"), "method", eps=eps),
+        "bands": residual_bands(daily(rows, "method"), "method"),
+    } | ({"calibration": calibration(first, p_sale)} if p_sale else {})
+
+
+def evaluate(df: DataFrame, method: str = "pred", **options) -> dict[str, DataFrame]:
+    """analysis() of a single model."""
+    return analysis(df, [method], **options)

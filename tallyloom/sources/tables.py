@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,16 +80,68 @@ def first_per_key(df: DataFrame, key: str, order: list) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
+def located(path: str, root: str) -> str:
+    """A path as it is if it is absolute or a URI, else below root."""
+    return path if path.startswith("/") or "://" in path or path.startswith("file:") else f"{root.rstrip('/')}/{path}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, by the file system of the path."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found))
+
+
+def read_first(spark: SparkSession, stem: str, suffixes: tuple[str, ...] = (".parquet", ".csv", ".jsonl"), schema: T.StructType | None = None) -> DataFrame:
+    """The table at stem with the first suffix that there is."""
+    for suffix in suffixes:
+        if exists(spark, stem + suffix):
+            return read_table(spark, stem + suffix, schema)
+    raise FileNotFoundError(f"no table at {stem} with any of {', '.join(suffixes)}")
+
+
+def unfinished(df: DataFrame, checkpoint: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of df that a checkpoint does not have yet; null is none."""
+    return df.select(key).where(F.col(key).isNotNull()).distinct().join(checkpoint.select(key), key, "left_anti")
+
+
+class CachedTables:
+    """The last few tables that were asked for, persisted; an older one is unpersisted when there are more."""
+
+    def __init__(self, spark: SparkSession, most: int = 8) -> None:
+        self.spark, self.most, self.held = spark, most, {}
+
+    def get(self, path: str, columns: list[str] | None = None) -> DataFrame:
+        key = (path, tuple(columns or ()))
+        df = self.held.pop(key, None)
+        if df is None:
+            df = read_table(self.spark, path).select(*(columns or ["*"])).persist()
+        self.held[key] = df
+        while len(self.held) > self.most:
+            self.held.pop(next(iter(self.held))).unpersist()
+        return df
+
+    def clear(self) -> None:
+        while self.held:
+            self.held.popitem()[1].unpersist()
+
+
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else Path(path).absolute().as_uri())
+
+
 def write_manifest(path: str, content: dict) -> None:
-    """A small JSON document, complete under its name or not there."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    temporary = target.with_suffix(".part")
-    temporary.write_text(json.dumps(content, indent=2, sort_keys=True))
-    temporary.rename(target)
+    """A small JSON document at a path or URI, complete under its name or not there."""
+    system, target = _place(path)
+    system.create_dir(target.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(f"{target}.part") as out:
+        out.write(json.dumps(content, indent=2, sort_keys=True).encode())
+    system.move(f"{target}.part", target)
 
 
 def read_manifest(path: str) -> dict:
     """The document, or an empty one where there is none."""
-    target = Path(path)
-    return json.loads(target.read_text()) if target.exists() else {}
+    system, target = _place(path)
+    if system.get_file_info(target).type == fs.FileType.NotFound:
+        return {}
+    with system.open_input_stream(target) as source:
+        return json.loads(source.read())

@@ -250,6 +250,49 @@ def test_cluster_sweep(spark):
     assert [r.k for r in found] == [2, 3, 4, 5] and max(found, key=lambda r: r.silhouette).k == 3 and found[0].inertia > found[1].inertia
 
 
+def test_analysis_of_methods(spark):
+    rows = [("a" if k % 2 else "b", START + dt.timedelta(days=k // 2), float(k % 5), float(k % 3), 1.0, 0.3) for k in range(80)]
+    df = spark.createDataFrame(rows, "sku string, date date, y double, pred_one double, pred_two double, p_sale double")
+    told = {k: v.collect() for k, v in D.analysis(df, ["pred_one", "pred_two"], "p_sale").items()}
+    assert len(told) == 9 and all(told.values()) and {r.method for r in told["methods"]} == {"pred_one", "pred_two"}
+    want = 100 * sum(abs(r[2] - r[3]) for r in rows) / sum(r[2] for r in rows)
+    assert next(r.wmape for r in told["methods"] if r.method == "pred_one") == pytest.approx(want)
+    assert len(told["periods"]) == 8 and sum(r.tp + r.fp + r.fn + r.tn for r in told["confusion"]) == 160 and set(D.evaluate(df, "pred_one")) == set(told) - {"calibration"}
+    named = D.labelled_methods(spark.createDataFrame([("pred_one",), ("pred_two_stage",)], "method string"), {"pred_one": "First"})
+    assert [r.method for r in named.collect()] == ["First", "Two Stage"]
+
+
+def test_tables_by_place_and_format(spark, tmp_path):
+    from tallyloom.sources import tables as X
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    X.write_table(df, f"{tmp_path}/t.csv")
+    assert X.read_first(spark, f"{tmp_path}/t").count() == 2
+    X.write_table(df.limit(1), f"{tmp_path}/t.parquet")
+    assert X.read_first(spark, f"{tmp_path}/t").count() == 1
+    with pytest.raises(FileNotFoundError):
+        X.read_first(spark, f"{tmp_path}/none")
+    assert [X.located(p, "s3://b/root/") for p in ("a/b", "/a", "file:///a")] == ["s3://b/root/a/b", "/a", "file:///a"]
+    assert [r.k for r in X.unfinished(df.union(df), df.where("k = 1"), "k").collect()] == [2]
+    X.write_manifest(f"file://{tmp_path}/m/one.json", {"rows": 2})
+    assert X.read_manifest(f"{tmp_path}/m/one.json") == {"rows": 2} and X.read_manifest(f"{tmp_path}/m/two.json") == {}
+    cache = X.CachedTables(spark, 1)
+    one = cache.get(f"{tmp_path}/t.csv", ["v"])
+    assert cache.get(f"{tmp_path}/t.csv", ["v"]) is one and one.is_cached and one.columns == ["v"]
+    cache.get(f"{tmp_path}/t.parquet")
+    assert not one.is_cached and len(cache.held) == 1
+    cache.clear()
+    assert not cache.held
+
+
+def test_discarding_intermediate_tables(spark):
+    from tallyloom import session
+
+    session.discard(spark)
+    out = session.materialize(spark.range(3), "gone")
+    assert out.count() == 3 and session.discard(spark) == 1 and session.discard(spark) == 0
+
+
 def test_count_model(spark, panel):
     counts = panel.withColumn("y", F.greatest(F.round("y"), F.lit(0.0)))
     model = L.fit_counts(L.training_rows(counts), steps=2)
