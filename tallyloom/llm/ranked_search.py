@@ -39,7 +39,7 @@ TOP = 20
 #: Terms of all items of a block, with repeats, about.
 BLOCK_TERMS = 1_000_000
 #: Classes times items that are scored at once, and list entries.
-SLICE = 2_000_000
+SLICE = 1 << 18
 K1, B = 12, 25
 
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
