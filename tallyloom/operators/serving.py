@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import contains_words, is_blank, jaccard, normalize_text, product_key, sequence_ratio
+from tallyloom.functions.text import contains_words, is_blank, normalize_text, product_key
+from tallyloom.operators import names
 from tallyloom.operators.panel import gap_filled_weeks
 from tallyloom.operators.prep import top_values
+from tallyloom.session import materialize
 from tallyloom.sources.tables import FORECAST_SCHEMA
 
 #: Model of each cluster: id, name, prediction column, probability column. Fixed values.
@@ -94,37 +96,34 @@ def exact_matches(queries: DataFrame, products: DataFrame, key: str = "product_k
     return out.select("query", F.when(F.col("b").isNull(), "not_found").when(F.size("b.keys") == 1, "resolved").otherwise("ambiguous").alias("status"), F.coalesce("b.keys", F.array().cast("array<string>")).alias("keys"))
 
 
-def _grams(text: Column) -> Column:
-    """Tokens and character trigrams, by which candidates meet."""
-    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.concat(F.lit("~"), F.substring(text, i, F.lit(3))))
-    return F.array_distinct(F.concat(F.split(text, " "), chars))
+def asked_names(queries: DataFrame) -> DataFrame:
+    """query and norm of the distinct queries that have anything left when normalised."""
+    return queries.select("query", normalize_text(F.col("query")).alias("norm")).where("norm <> ''").distinct()
 
 
 def fuzzy_ranks(queries: DataFrame, products: DataFrame, limit: int = 5, key: str = "product_key") -> DataFrame:
-    """query, key, score, rank: products that share a token or a trigram with the query by the best score of their name, id and aliases."""
-    names = products.select(key, "normalized_product_name", F.explode(F.array_distinct(F.concat(F.array("normalized_product_name", "product_id_norm"), "search_aliases_norm"))).alias("candidate")).where("candidate <> ''")
-    asked = queries.select("query", normalize_text(F.col("query")).alias("norm")).where("norm <> ''").distinct()
-    met = asked.withColumn("g", F.explode(_grams(F.col("norm")))).join(names.withColumn("g", F.explode(_grams(F.col("candidate")))), "g").select("query", "norm", key, "normalized_product_name", "candidate").distinct()
-    a, c = F.col("norm"), F.col("candidate")
-    held = F.when(F.contains(a, c) | F.contains(c, a), F.when(F.length(c) >= 4, 0.88).otherwise(0.74)).otherwise(0.0)
-    shared = jaccard(a, c)
-    score = F.when(a == c, 1.0).otherwise(F.greatest(held, F.when(shared > 0, 0.40 + 0.45 * shared).otherwise(0.0), sequence_ratio(a, c) * 0.65))
-    best = met.groupBy("query", key, "normalized_product_name").agg(F.round(F.max(score), 6).alias("score")).where("score > 0")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "normalized_product_name", key)
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query", key, "score", "rank")
+    """query, key, score, rank of the best products by name, id and aliases, and how many pairs took the exact ratio."""
+    return names.ranked(asked_names(queries), products, limit, key)
 
 
-def resolve(queries: DataFrame, products: DataFrame, key: str = "product_key") -> DataFrame:
-    """The whole cascade: exact rules, then the fuzzy ranking: resolved if its best is good and clear, ambiguous if good."""
-    exact = exact_matches(queries, products, key)
-    left = exact.where("status = 'not_found'").select("query")
-    ranked = fuzzy_ranks(left, products, key=key).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score", key))), lambda s: F.struct(s["score"].alias("s"), s[key].alias("k"))).alias("r"))
+def loosely(queries: DataFrame, products: DataFrame, key: str = "product_key") -> DataFrame:
+    """query, status, keys and nearest by the fuzzy ranking: resolved if its best is good and clear, ambiguous if good, else not found, with
+    the closest names."""
+    ranked = fuzzy_ranks(queries, products, key=key).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score", key))), lambda s: F.struct(s["score"].alias("s"), s[key].alias("k"))).alias("r"))
     top, second = F.get("r", F.lit(0))["s"], F.get("r", F.lit(1))["s"]
     status = F.when(F.col("r").isNull() | (top < MATCH), "not_found").when(second.isNull() | (top - second >= MARGIN), "resolved").otherwise("ambiguous")
-    loose = left.join(ranked, "query", "left").select("query", status.alias("status"), F.transform(F.coalesce("r", F.array().cast("array<struct<s:double,k:string>>")), lambda x: x["k"]).alias("k"))
+    rows = materialize(queries.join(ranked, "query", "left").select("query", status.alias("status"), F.transform(F.coalesce("r", F.array().cast("array<struct<s:double,k:string>>")), lambda x: x["k"]).alias("k")), "loosely")
+    close = names.nearest(asked_names(rows.where("status = 'not_found'")), products, key=key)
     none = F.array().cast("array<string>")
-    done = loose.select("query", "status", F.when(F.col("status") == "resolved", F.slice("k", 1, 1)).when(F.col("status") == "ambiguous", F.col("k")).otherwise(none).alias("keys"))
-    return exact.where("status <> 'not_found'").unionByName(done)
+    keys = F.when(F.col("status") == "resolved", F.slice("k", 1, 1)).when(F.col("status") == "ambiguous", F.col("k")).otherwise(none)
+    return rows.join(close, "query", "left").select("query", "status", keys.alias("keys"), F.coalesce("nearest", none).alias("nearest"))
+
+
+def resolve(queries: DataFrame, products: DataFrame, key: str = "product_key") -> DataFrame:
+    """The whole cascade: exact rules, then the fuzzy ranking over what is left. products is read several times."""
+    exact = materialize(exact_matches(queries, products, key), "exact")
+    loose = loosely(exact.where("status = 'not_found'").select("query"), products, key)
+    return exact.where("status <> 'not_found'").withColumn("nearest", F.array().cast("array<string>")).unionByName(loose)
 
 
 def unavailable(queries: DataFrame, listed: DataFrame) -> DataFrame:
@@ -208,9 +207,10 @@ def parse_requests(queries: DataFrame) -> DataFrame:
 
 
 def answer(queries: DataFrame, products: DataFrame, listed: DataFrame) -> DataFrame:
-    """query, status, keys: exact resolution, then the list of unavailable products, then the fuzzy one."""
-    strict = exact_matches(queries, products)
+    """query, status, keys, nearest: exact resolution, then the list of unavailable products, then the fuzzy one; each step takes what is left."""
+    none = F.array().cast("array<string>")
+    strict = materialize(exact_matches(queries, products), "strict")
     rest = strict.where("status = 'not_found'").select("query")
-    gone = unavailable(rest, listed).select("query", F.lit("unavailable").alias("status"), F.array("product_family_name").alias("keys"))
-    loose = resolve(rest.join(gone, "query", "left_anti"), products)
-    return strict.where("status <> 'not_found'").unionByName(gone).unionByName(loose)
+    gone = materialize(unavailable(rest, listed).select("query", F.lit("unavailable").alias("status"), F.array("product_family_name").alias("keys")), "unavailable")
+    loose = loosely(rest.join(gone, "query", "left_anti"), products)
+    return strict.where("status <> 'not_found'").unionByName(gone).withColumn("nearest", none).unionByName(loose)

@@ -102,9 +102,7 @@ def value_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH old AS (SELECT sku, date, y, round(y * 2, 2) AS pred_a, 1.0::DOUBLE AS pred_b FROM daily WHERE date < DATE '1999-01-01'),
-    new AS (SELECT sku, date, round(y * 3, 2) AS pred_b FROM daily WHERE date >= DATE '1998-01-01')
-    SELECT sku, date, old.y, pred_a, new.pred_b FROM (SELECT sku, date, y, pred_a FROM old) old FULL OUTER JOIN new USING (sku, date)""",
+    """SELECT sku, date, CASE WHEN date < DATE '1999-01-01' THEN y END AS y, CASE WHEN date < DATE '1999-01-01' THEN round(y * 2, 2) END AS pred_a, CASE WHEN date >= DATE '1998-01-01' THEN round(y * 3, 2) END AS pred_b FROM daily""",
     "daily",
 )
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

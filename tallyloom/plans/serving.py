@@ -12,6 +12,7 @@ from tallyloom.operators import univariate as U
 from tallyloom.operators.panel import future_grid
 from tallyloom.plans.panels import dense, split
 from tallyloom.plans.registry import query
+from tallyloom.session import materialize
 from tallyloom.sources.retail import retail_tx, table
 
 BUILT = "2024-01-01T00:00:00Z"
@@ -26,9 +27,9 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.product_metadata(retail_tx(spark, sf_dir).withColumn("product_family_name", F.col("description")))
 
 
-def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def forecasts(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
     pred = U.naive7(*split(spark, sf_dir)).withColumnRenamed("sku", "product_family_name")
-    return V.canonical(pred, 1, BUILT, metadata(spark, sf_dir), NAIVE)
+    return V.canonical(pred, 1, BUILT, known or metadata(spark, sf_dir), NAIVE)
 
 
 @query(f"WITH {_CANON} SELECT * FROM canon", "naive")
@@ -37,7 +38,8 @@ def canonical_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.registry(forecasts(spark, sf_dir), metadata(spark, sf_dir))
+    known = materialize(metadata(spark, sf_dir), "metadata")
+    return V.registry(forecasts(spark, sf_dir, known), known)
 
 
 @query(f"WITH {_CANON} SELECT product_key, product_family_name, {_NORM.format('product_family_name')} AS normalized_product_name, product_id, product_id AS product_id_norm, cluster, model_id, model_name, generated_at FROM canon GROUP BY ALL", "naive")
@@ -129,13 +131,13 @@ def parse_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def resolve_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole cascade over part names as people write them: exact rules, then the nearest names with their margin."""
-    return V.resolve(asked(spark, sf_dir), products(spark, sf_dir))
+    return V.resolve(asked(spark, sf_dir), materialize(products(spark, sf_dir), "products"))
 
 
 @query()
 def answer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each request gets: a product, an unavailable one, several that it may mean, or none."""
-    known = products(spark, sf_dir)
+    known = materialize(products(spark, sf_dir), "products")
     kinds = table(spark, sf_dir, "part").select(F.upper(F.concat_ws(" ", "p_type", "p_brand")).alias("name")).distinct()
     listed = kinds.select(F.col("name").alias("product_family_name"), normalize_text(F.col("name")).alias("normalized_product_name"), F.lit("").alias("product_id_norm"), F.array().cast("array<string>").alias("search_aliases_norm"), F.lit("dropped").alias("reason_type"))
     return V.answer(asked(spark, sf_dir), known, listed)
