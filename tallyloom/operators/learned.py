@@ -10,14 +10,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import calendar
+from tallyloom.operators import counts
 from tallyloom.operators import history as H
 from tallyloom.session import ship
 
@@ -133,63 +133,9 @@ def fit_global(rows: DataFrame, trees: int = 15, depth: int = 4, weight: str | N
     return TwoStage(None, 1.0, export_trees(model), 0.0, tau=0.0)
 
 
-@dataclass
-class CountModel:
-    """Zero-inflated counts: log mean and logit of the inflation, both linear in standardised features; alpha 0 is Poisson."""
-
-    center: np.ndarray
-    scale: np.ndarray
-    mean: np.ndarray
-    inflation: np.ndarray
-    alpha: float
-    tau: float = 0.5
-    cap: float = 200.0
-
-    def __call__(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forecast and probability of a sale."""
-        z = np.clip((rows - self.center) / self.scale, -6, 6)
-        mu = np.exp(np.clip(self.mean[0] + z @ self.mean[1:], -20, math.log(self.cap) + 2))
-        pi = 1 / (1 + np.exp(-np.clip(self.inflation[0] + z @ self.inflation[1:], -30, 30)))
-        zero = np.exp(-mu) if self.alpha <= 0 else np.power(1 + self.alpha * mu, -1 / self.alpha)
-        p = np.clip(np.nan_to_num(1 - (pi + (1 - pi) * zero)), 0, 1)
-        pred = np.clip(np.nan_to_num((1 - pi) * mu), 0, self.cap)
-        return np.where(p >= self.tau, pred, 0.0), p
-
-
-def fit_counts(rows: DataFrame, steps: int = 4, cap: float = 200.0, sample: int = 50_000, dispersion: bool = True, seed: int = 42) -> CountModel:
-    """By expectation-maximisation: weighted logistic and Poisson regressions alternate. Fitted on at most about sample rows, chosen by
-    hash. The dispersion is the moment estimate over the count part."""
-    total = rows.count()
-    part = rows if total <= sample else rows.where(F.pmod(F.xxhash64("sku", "date", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
-    stats = part.agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES]).first()
-    center = np.array([stats[f"m_{c}"] or 0.0 for c in FEATURES])
-    scale = np.array([stats[f"s_{c}"] or 1.0 for c in FEATURES])
-    clip = lambda c, m, s: F.least(F.greatest((F.col(c) - m) / s, F.lit(-6.0)), F.lit(6.0)).alias(c)
-    counts = F.least(F.bround(F.greatest("y", F.lit(0.0))), F.lit(cap)).alias("n")
-    data = _vector(part.select(counts, *[clip(c, float(m), float(s)) for c, m, s in zip(FEATURES, center, scale, strict=True)])).select("features", "n").persist()
-    try:
-        zeros = data.agg(F.avg((F.col("n") == 0).cast("double"))).first()[0] or 0.0
-        k = len(FEATURES)
-        model = CountModel(np.zeros(k), np.ones(k), np.zeros(k + 1), np.r_[math.log(max(zeros, 0.01) / max(1 - zeros, 0.01)), np.zeros(k)], 0.0, cap=cap)
-        for _ in range(steps):
-            x = vector_to_array("features")
-            dot = lambda w: F.lit(float(w[0])) + F.reduce(F.zip_with(x, F.array(*[F.lit(float(v)) for v in w[1:]]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)  # noqa: E731, B023
-            mu = F.exp(F.least(dot(model.mean), F.lit(math.log(cap) + 2)))
-            pi = 1 / (1 + F.exp(-dot(model.inflation)))
-            share = F.when(F.col("n") == 0, pi / (pi + (1 - pi) * F.exp(-mu))).otherwise(0.0)
-            weighed = data.withColumn("z", share)
-            two = weighed.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("z").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("z")).alias("w")))).alias("r")).select("features", "r.label", "r.w").where("w > 1e-9")
-            inflated = LogisticRegression(weightCol="w", maxIter=15, regParam=1e-4).fit(two)
-            poisson = GeneralizedLinearRegression(family="poisson", link="log", labelCol="n", weightCol="w", maxIter=10, regParam=1e-3).fit(weighed.withColumn("w", F.greatest(1 - F.col("z"), F.lit(1e-6))))
-            model.inflation = np.r_[inflated.intercept, inflated.coefficients.toArray()]
-            model.mean = np.r_[poisson.intercept, poisson.coefficients.toArray()]
-        if dispersion:
-            moment = weighed.agg((F.sum((1 - F.col("z")) * (F.pow(F.col("n") - mu, 2) - mu)) / F.sum((1 - F.col("z")) * mu * mu)).alias("a")).first()["a"]
-            model.alpha = max(float(moment or 0.0), 0.0)
-        model.center, model.scale = center, scale
-        return model
-    finally:
-        data.unpersist()
+def fit_counts(rows: DataFrame, steps: int = counts.STEPS, cap: float = 200.0, dispersion: bool = True) -> counts.CountModel:
+    """The zero-inflated model of counts by maximum likelihood over all rows, negative binomial or Poisson."""
+    return counts.fit(rows, FEATURES, cap=cap, distribution="zinb" if dispersion else "zip", steps=steps)
 
 
 class Histories:
@@ -201,6 +147,13 @@ class Histories:
         self.sold = np.stack([np.r_[np.zeros(max(0, KEPT - len(v))), v[-KEPT:] > 0] for v in values]).astype(float)
         self.since = np.array([float(len(v) - at[-1]) if len(at := np.flatnonzero(v > 0)) else float(H.NEVER) for v in values])
 
+    @classmethod
+    def reduced(cls, n: list[int], since: list[float], last: list[np.ndarray]) -> Histories:
+        """From what reduced_history() keeps of each."""
+        out = cls(last)
+        out.n, out.since = np.array(n, int), np.array(since, float)
+        return out
+
     def features(self, of: np.ndarray, days: pd.DatetimeIndex) -> np.ndarray:
         """FEATURES of the day after each history in of, as training_rows has them."""
         n, values, sold_ = self.n[of], self.values[of], self.sold[of]
@@ -218,20 +171,28 @@ class Histories:
         self.since[of] = np.where(sold, 1.0, np.where(self.since[of] == H.NEVER, H.NEVER, self.since[of] + 1))
 
 
+def reduced_history(train: DataFrame) -> DataFrame:
+    """sku, n (its days), since (days from its last sale on) and last (its last KEPT values): all that a step needs, whatever the length."""
+    ago = F.row_number().over(Window.partitionBy("sku").orderBy(F.desc("date")))
+    rows = train.select("sku", "date", F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y")).withColumn("ago", ago)
+    held = F.transform(F.array_sort(F.collect_list(F.when(F.col("ago") <= KEPT, F.struct((-F.col("ago")).alias("k"), "y")))), lambda r: r["y"])
+    return rows.groupBy("sku").agg(F.count("*").alias("n"), F.coalesce(F.min(F.when(F.col("y") > 0, F.col("ago"))).cast("double"), F.lit(float(H.NEVER))).alias("since"), held.alias("last"))
+
+
 def recursive(train: DataFrame, future: DataFrame, model: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], raw_state: bool = False, together: int = SERIES) -> DataFrame:
-    """future's rows with pred and p_sale: each day's forecast becomes history of the next. Series are independent: about `together` of them
-    form a group, which steps all of them a day at a time with one call of the model. Of each history only the last days and the
-    distance to its last sale are kept. raw_state: the state takes forecasts before the gate."""
+    """future's rows with pred and p_sale: each day's forecast becomes history of the next. Histories are reduced in Catalyst to a row a sku; series are independent,
+    so about `together` of them form a group, which steps all of them a day at a time with one call of the model. raw_state: the state takes
+    forecasts before the gate."""
     ship(train.sparkSession)
     groups = max(1, -(-future.select("sku").distinct().count() // together))
-    rows = train.select("sku", "date", "y", F.lit(False).alias("ahead")).unionByName(future.select("sku", "date", "y", F.lit(True).alias("ahead")))
+    group = F.pmod(F.xxhash64("sku"), F.lit(groups)).alias("group")
 
-    def each(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["sku", "date"])
-        past, ahead = group[~group["ahead"]], group[group["ahead"]]
-        known = dict(iter(past.groupby("sku")["y"]))
+    def each(past: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
+        ahead = ahead.sort_values(["sku", "date"])
+        known = past.set_index("sku")
         names = ahead["sku"].unique()
-        state = Histories([known[s].to_numpy(float) if s in known else np.zeros(0) for s in names])
+        held = [known.loc[s] if s in known.index else None for s in names]
+        state = Histories.reduced([0 if h is None else h["n"] for h in held], [H.NEVER if h is None else h["since"] for h in held], [np.zeros(0) if h is None else np.asarray(h["last"], float) for h in held]) if len(names) else None
         of, step = pd.Categorical(ahead["sku"], names).codes.astype(int), ahead.groupby("sku").cumcount().to_numpy()
         days, preds, ps = pd.DatetimeIndex(ahead["date"]), np.zeros(len(ahead)), np.zeros(len(ahead))
         for t in range(int(step.max(initial=-1)) + 1):
@@ -241,7 +202,8 @@ def recursive(train: DataFrame, future: DataFrame, model: Callable[[np.ndarray],
             state.append(of[at], np.where(pred == 0, p * pred, pred) if raw_state else pred, pred > 0)
         return pd.DataFrame({"sku": ahead["sku"], "date": ahead["date"], "y": ahead["y"].astype(float), "pred": preds, "p_sale": ps})
 
-    return rows.groupBy(F.pmod(F.xxhash64("sku"), F.lit(groups)).alias("group")).applyInPandas(each, "sku string, date date, y double, pred double, p_sale double")
+    left, right = reduced_history(train).groupBy(group), future.select("sku", "date", "y").groupBy(group)
+    return left.cogroup(right).applyInPandas(each, "sku string, date date, y double, pred double, p_sale double")
 
 
 def score(rows: DataFrame, model: TwoStage) -> DataFrame:

@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.decomposition import strength
 from tallyloom.operators.history import by
+from tallyloom.operators.unitroot import adf
 from tallyloom.session import ship
 
 
@@ -149,23 +151,6 @@ def partial_autocorrelations(values: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def seasonal_strength(values: np.ndarray, period: int) -> float | None:
-    """1 - Var(rest) / Var(rest + season) of a decomposition into a centred moving average, seasonal medians and the rest; not below
-    0. Null below two periods."""
-    n = len(values)
-    if n < 2 * period:
-        return None
-    kernel = np.ones(period) / period if period % 2 else np.r_[0.5, np.ones(period - 1), 0.5] / period
-    pad = len(kernel) // 2
-    trend_ = np.convolve(np.pad(values, pad, mode="reflect"), kernel, mode="valid")[:n]
-    free = values - trend_
-    season = np.array([np.median(free[k::period]) for k in range(period)])
-    season = np.resize(season - season.mean(), n)
-    rest = free - season
-    whole = np.var(rest + season)
-    return 0.0 if whole == 0 else float(max(0.0, 1 - np.var(rest) / whole))
-
-
 def _chi2_above(x: float, k: int) -> float:
     """Upper tail of a chi-squared variable, by the regularised incomplete gamma function's series or continued fraction."""
     a, z = k / 2, x / 2
@@ -219,14 +204,27 @@ def kpss(values: np.ndarray) -> float | None:
 
 
 def numeric_features(panel: DataFrame, period: int = 7) -> DataFrame:
-    """dominant_period, spectral_entropy, pacf_1/7/14, seasonal strength, kpss_p and ljung_box_p of each sku."""
+    """dominant_period, spectral_entropy, pacf_1/7/14, seasonal_strength (robust STL), adf_p and adf_lags, kpss_p and ljung_box_p of each sku."""
     ship(panel.sparkSession)
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
         y = rows.sort_values("date")["y"].to_numpy(float)
         cycle, entropy = spectrum(y)
         pacf = partial_autocorrelations(y, 14)
-        return pd.DataFrame([{"sku": rows["sku"].iloc[0], "dominant_period": cycle, "spectral_entropy": entropy, **{f"pacf_{k}": None if np.isnan(pacf[k]) else pacf[k] for k in (1, 7, 14)}, "seasonal_strength": seasonal_strength(y, period), "kpss_p": kpss(y), "ljung_box_p": ljung_box(y)}])
+        _, root, lags = adf(y)
+        values = {"dominant_period": cycle, "spectral_entropy": entropy, **{f"pacf_{k}": None if np.isnan(pacf[k]) else pacf[k] for k in (1, 7, 14)}, "seasonal_strength": strength(y, period), "adf_p": root, "adf_lags": lags, "kpss_p": kpss(y), "ljung_box_p": ljung_box(y)}
+        return pd.DataFrame([{"sku": rows["sku"].iloc[0], **values}])
 
-    columns = ["dominant_period", "spectral_entropy", "pacf_1", "pacf_7", "pacf_14", "seasonal_strength", "kpss_p", "ljung_box_p"]
+    columns = ["dominant_period", "spectral_entropy", "pacf_1", "pacf_7", "pacf_14", "seasonal_strength", "adf_p", "adf_lags", "kpss_p", "ljung_box_p"]
     return panel.groupBy("sku").applyInPandas(each, "sku string, " + ", ".join(f"{c} double" for c in columns))
+
+
+def weekly_strength(weekly: DataFrame, period: int = 52) -> DataFrame:
+    """sku and seasonal_strength of weekly series (sku, week, y) by robust STL; 0 below a period and for series without variation."""
+    ship(weekly.sparkSession)
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        y = rows.sort_values("week")["y"].to_numpy(float)
+        return pd.DataFrame([{"sku": rows["sku"].iloc[0], "seasonal_strength": strength(y, period, 1) or 0.0}])
+
+    return weekly.groupBy("sku").applyInPandas(each, "sku string, seasonal_strength double")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import panel as P
 from tallyloom.operators import post
+from tallyloom.operators import smoothing as M
 from tallyloom.operators import univariate as U
-from tallyloom.plans.panels import TEST_DAYS, rounded, split
+from tallyloom.plans.panels import TEST_DAYS, dense, rounded, split
 from tallyloom.plans.registry import query
 
 _LAST = "SELECT *, row_number() OVER (PARTITION BY sku ORDER BY date DESC) AS rn FROM train"
@@ -93,6 +94,18 @@ def baseline_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(U.baselines(split(spark, sf_dir)[0]), 6)
 
 
+@query()
+def smoothing_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which model of the smoothing family each series' own last days choose, its parameters and squared errors, fitted on all days."""
+    return M.chosen(split(spark, sf_dir)[0], TEST_DAYS).drop("forecast")
+
+
+@query()
+def smoothing_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters, squared error and residual variance of simple smoothing and of additive trend and season, of every series of raw demand."""
+    return M.parameters(dense(spark, sf_dir), [M.Model(log=False), M.Model("add", "add", log=False)])
+
+
 @query()
 def seasonal_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.smoothing(split(spark, sf_dir)[0], TEST_DAYS)

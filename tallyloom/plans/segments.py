@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators import decomposition as D
 from tallyloom.operators import panel as P
 from tallyloom.operators import segment as G
 from tallyloom.operators import stats as S
@@ -185,6 +186,19 @@ def series_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.numeric_features(dense(spark, sf_dir))
 
 
+@query()
+def stl_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Season, trend and rest of every series of the weekly pattern, with the weights that peaks were given."""
+    return D.components(dense(spark, sf_dir), 7)
+
+
+@query()
+def weekly_seasonality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strength of the yearly season of weekly demand, and the flag at 0.30."""
+    rows = S.weekly_strength(weekly(spark, sf_dir))
+    return rows.withColumn("seasonal_flag", F.col("seasonal_strength") >= 0.30)
+
+
 @query()
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per series: all statistics side by side, undefined ones as 0."""
