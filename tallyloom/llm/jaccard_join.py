@@ -7,8 +7,8 @@ met in them, and the partners that can have l matches (at most all those met, di
 share as many prefix tokens as the smaller of both l.
 
 How often tokens occur is counted over all texts, by a hash into COUNTERS counters that each task sums and sends compressed; what tasks get is a byte
-a counter, whatever the corpus. A counter is never less than the truth, so the order prefers tokens that are surely rare, a token alone in
-its counter needs no row at all, and a poor estimate costs time, not links. For a corpus of over some 10^11 words take more counters.
+a counter, whatever the corpus. A counter is never less than the truth, so the order prefers tokens that are surely rare, and a poor estimate
+costs time, not links. For a corpus of over some 10^11 words take more counters.
 
 Equal sets are one. Tokens of up to MEETING sets make pairs (a join on the token, counted by pair); a token of more joins its sets to the least of them, as a
 pair for each two would be the square of a group. Both give candidate groups, whose sets are then compared exactly, by the same multi-match
@@ -171,7 +171,7 @@ def frequencies(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, cou
 
 
 def prefixed(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, counters: int = COUNTERS) -> DataFrame:
-    """doc, row (a hash of doc and text), s1 and s2 (the set's name), n, need (its l) and prefix (without tokens that no other text has)."""
+    """doc, row (a hash of doc and text), s1 and s2 (the set's name), n, need (its l) and prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(frequencies(docs, text, shingle, counters))
     shift = np.uint64(64 - int(math.log2(counters)))
 
@@ -188,7 +188,7 @@ def prefixed(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle:
                     need = matches(_COUNT[code[order]] - 1, n, percent) if n else 0
                     kept = order[: n - overlap(n, percent) + need] if n else order
                     a, b = name(own)
-                    first.append(a), second.append(b), sizes.append(n), needs.append(need), prefix.append(own[kept[code[kept] > 1]])
+                    first.append(a), second.append(b), sizes.append(n), needs.append(need), prefix.append(own[kept])
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *prefix]).view(np.int64)
             return [pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
