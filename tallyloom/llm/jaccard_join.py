@@ -53,6 +53,8 @@ MOST, SEND, TEST = 8, 2.0, 16.0
 MEETING = 16
 #: Hashes of the sets that a task compares with each other, about.
 BLOCK_SHINGLES = 2_000_000
+#: Sets whose names are sent to all tasks to find their texts (some 60 MB); more are joined by a shuffle of the texts.
+SENT = 500_000
 
 _SPACE = np.isin(np.arange(256), [*b" \t\n\v\f\r"])
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -330,7 +332,9 @@ def similar(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: i
     near = components(candidates(distinct, percent, meeting)).select(F.col("fp").alias("set"), F.col("root").alias("group"))
     near = near.unionByName(near.select(F.col("group").alias("set"), "group").distinct())
     asked = materialize(distinct.select("set", "s1", "s2", "n", "row").join(near, "set"), "asked")
-    texts = materialize(docs.select(F.col(text).alias("text"), F.xxhash64(doc, text).alias("row")).join(asked.select("set", "s1", "s2", "row"), "row").drop("row"), "texts")
+    wanted = asked.select("set", "s1", "s2", "row")
+    wanted = F.broadcast(wanted) if asked.count() <= SENT else wanted
+    texts = materialize(docs.select(F.col(text).alias("text"), F.xxhash64(doc, text).alias("row")).join(wanted, "row").drop("row"), "texts")
     moved = verified(texts, asked.select("set", "n", "group"), percent, shingle, block_shingles).select(F.col("fp").alias("set"), "root")
     rooted = distinct.select("set", "s1", "s2", "least_doc").join(moved, "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
