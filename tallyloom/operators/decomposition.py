@@ -22,7 +22,7 @@ from tallyloom.session import ship
 SEASONAL = 7
 INNER, OUTER = 2, 15
 #: Floats of a smoothing's windows at once.
-WINDOWS = 4_000_000
+WINDOWS = 50_000
 
 
 @lru_cache(maxsize=64)
@@ -111,15 +111,19 @@ def stl(y: np.ndarray, period: int, seasonal: int = SEASONAL, trend: int | None
     return season, level, rho
 
 
-def strength(y: np.ndarray, period: int, least_periods: float = 2) -> float | None:
-    """1 - Var(rest) / Var(rest + season) of the robust decomposition; 0 for a series without variation, None below so many periods."""
-    y = np.asarray(y, float)
-    if len(y) < max(least_periods * period, period):
-        return None
+def strengths(y: np.ndarray, period: int) -> np.ndarray:
+    """1 - Var(rest) / Var(rest + season) of the robust decompositions of series (rows); 0 for a series without variation."""
     season, level, _ = stl(y, period)
     rest = y - season - level
-    whole = np.var(rest + season)
-    return 0.0 if whole <= 1e-12 * max(1.0, np.var(y)) else float(1 - np.var(rest) / whole)
+    whole, alone = np.var(rest + season, -1), np.var(rest, -1)
+    varies = whole > 1e-12 * np.maximum(1.0, np.var(y, -1))
+    return np.where(varies, 1 - np.divide(alone, whole, out=np.ones_like(whole), where=varies), 0.0)
+
+
+def strength(y: np.ndarray, period: int, least_periods: float = 2) -> float | None:
+    """The same of one series; None below so many periods."""
+    y = np.asarray(y, float)
+    return None if len(y) < max(least_periods * period, period) else float(strengths(y[None], period)[0])
 
 
 def components(panel: DataFrame, period: int = 7, **spans: int) -> DataFrame:

@@ -202,8 +202,10 @@ def recursive(train: DataFrame, future: DataFrame, model: Callable[[np.ndarray],
             state.append(of[at], np.where(pred == 0, p * pred, pred) if raw_state else pred, pred > 0)
         return pd.DataFrame({"sku": ahead["sku"], "date": ahead["date"], "y": ahead["y"].astype(float), "pred": preds, "p_sale": ps})
 
-    left, right = reduced_history(train).groupBy(group), future.select("sku", "date", "y").groupBy(group)
-    return left.cogroup(right).applyInPandas(each, "sku string, date date, y double, pred double, p_sale double")
+    # both sides may come of one table: aliases give their columns names of their own
+    left = reduced_history(train).select(*[F.col(c).alias(c) for c in ("sku", "n", "since", "last")], group)
+    right = future.select(*[F.col(c).alias(c) for c in ("sku", "date", "y")], group)
+    return left.groupBy("group").cogroup(right.groupBy("group")).applyInPandas(each, "sku string, date date, y double, pred double, p_sale double")
 
 
 def score(rows: DataFrame, model: TwoStage) -> DataFrame:

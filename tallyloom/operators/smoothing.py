@@ -1,12 +1,13 @@
 """The exponential smoothing family: level, trend (none, additive, multiplicative, each damped or not), season (none, additive, multiplicative).
 
 Parameters are fitted by a bounded simplex search on the sum of squared one-step errors. Series don't depend on each other, so the recursion runs
-over time for a whole batch at once, and the search moves every series' simplex in step: an evaluation is one pass over time for all
-series and all trial points. Spark deals (batch of skus, model) to tasks; the competition, whose winner each series' own last days choose, is an
+over time for a whole batch at once, and the search, from the best point of a coarse grid, moves every series' simplex in step: an evaluation is one
+pass over time for all series and all trial points. Spark deals (batch of skus, model) to tasks; the competition, whose winner each series' own last days choose, is an
 aggregate over the scores, and only winners are fitted again on all days."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -24,9 +25,9 @@ ERROR, FALSE_SALES = 0.7, 0.3
 OFFSET = 1e-3
 #: Series of a task, about.
 BATCH = 200
-STEPS = 40
+#: Moves of a search's rounds, and the parameter values (as shares of their range) of the grid that it begins from.
+STEPS, GRID = 15, (0.05, 0.35, 0.8)
 LOW, HIGH = {"alpha": 1e-4, "beta": 1e-4, "gamma": 1e-4, "phi": 0.8}, {"alpha": 0.9999, "beta": 0.9999, "gamma": 0.9999, "phi": 0.995}
-START = {"alpha": 0.3, "beta": 0.1, "gamma": 0.1, "phi": 0.95}
 
 
 @dataclass(frozen=True)
@@ -128,7 +129,7 @@ def simplex(cost: Callable[[np.ndarray], np.ndarray], start: np.ndarray, low: np
     for k in range(rounds):
         points = np.repeat(start[:, None], p + 1, 1)
         for j in range(p):
-            wide = (0.25 if k == 0 else 0.1) * (high[j] - low[j])
+            wide = (0.15 if k == 0 else 0.05) * (high[j] - low[j])
             points[:, j + 1, j] += np.where(points[:, j + 1, j] + wide <= high[j], wide, -wide)
         points, costs = _search(cost, np.clip(points, low, high), low, high, steps, tolerance)
         best = np.argmin(costs, 1)
@@ -168,7 +169,10 @@ def fit(y: np.ndarray, model: Model, horizon: int = 0, steps: int = STEPS) -> di
         return [points[..., free.index(n)] if n in free else np.full(points.shape[:-1], v) for n, v in fixed.items()]
 
     bounds = [np.array([b[n] for n in free]) for b in (LOW, HIGH)]
-    best, sse = simplex(lambda points: run(x, model, *full(points))[0], np.tile([START[n] for n in free], (len(y), 1)), *bounds, steps)
+    grid = bounds[0] + (bounds[1] - bounds[0]) * np.array(list(itertools.product(GRID, repeat=len(free))))
+    cost = lambda points: run(x, model, *full(points))[0]
+    first = np.argmin(cost(np.broadcast_to(grid, (len(y), *grid.shape))), 1)
+    best, sse = simplex(cost, grid[first], *bounds, steps)
     own = full(best[:, None])
     return {n: v[:, 0] for n, v in zip(fixed, own, strict=True)} | {"sse": sse, "forecast": model.back(run(x, model, *own, horizon)[1][:, 0])}
 

@@ -12,10 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.decomposition import strength
+from tallyloom.operators.decomposition import strength, strengths
 from tallyloom.operators.history import by
 from tallyloom.operators.unitroot import adf
-from tallyloom.session import ship
+from tallyloom.session import materialize, ship
 
 
 def intermittency(panel: DataFrame) -> DataFrame:
@@ -219,12 +219,19 @@ def numeric_features(panel: DataFrame, period: int = 7) -> DataFrame:
     return panel.groupBy("sku").applyInPandas(each, "sku string, " + ", ".join(f"{c} double" for c in columns))
 
 
-def weekly_strength(weekly: DataFrame, period: int = 52) -> DataFrame:
-    """sku and seasonal_strength of weekly series (sku, week, y) by robust STL; 0 below a period and for series without variation."""
+def weekly_strength(weekly: DataFrame, period: int = 52, batch: int = 100) -> DataFrame:
+    """sku and seasonal_strength of weekly series (sku, week, y) by robust STL; 0 below a period and for series without variation. About
+    `batch` series of a task are decomposed together, those of equal length as one array."""
     ship(weekly.sparkSession)
-
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows.sort_values("week")["y"].to_numpy(float)
-        return pd.DataFrame([{"sku": rows["sku"].iloc[0], "seasonal_strength": strength(y, period, 1) or 0.0}])
-
-    return weekly.groupBy("sku").applyInPandas(each, "sku string, seasonal_strength double")
+    values = F.transform(F.array_sort(F.collect_list(F.struct("week", F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y")))), lambda r: r["y"])
+    rows = materialize(weekly.groupBy("sku").agg(values.alias("series")), "weeks")
+    bucket = F.pmod(F.xxhash64("sku"), F.lit(max(1, -(-rows.count() // batch))))
+
+    def each(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for n, same in group.groupby(group["series"].map(len)):
+            y = np.stack(same["series"].to_list()).astype(float)
+            out.append(pd.DataFrame({"sku": same["sku"], "seasonal_strength": strengths(y, period) if n >= period else 0.0}))
+        return pd.concat(out)
+
+    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(each, "sku string, seasonal_strength double")
