@@ -1,22 +1,23 @@
 """Interleaved document sequences: ordered text and media references, payloads resolved by digest.
 
-interleave() parses HTML into a sequence of structs: a position, a kind (text or media), text, the reference and its caption (a
-figure's figcaption, else the alt text). store() writes payloads as 8-bit greyscale PNG images of ROW samples a row, into a table keyed
+interleave() parses HTML, whatever it is like, in time in proportion to its length, into a sequence of structs: a position, a kind (text or media), text,
+the reference and its caption (a figure's figcaption, else the alt text). store() writes payloads as 8-bit greyscale PNG images of ROW samples a row, into a table keyed
 by the payload's SHA-256; load() reads the images back, decodes them and checks the digest. resolve() joins media elements to what was
 stored by digest; only digests, places and properties travel, images stay where they were written, and an element keeps its position and
 caption whether or not its digest is known.
 
 Defined results: null HTML is empty and gives an empty sequence. An element without a known payload resolves to nulls. Equal payloads
-are one entry of the store, however often they are written. A payload is padded by bytes 255 to a positive multiple of ROW; a
+are one entry of what load() gives; store() writes one once for each batch that has it. A payload is padded by bytes 255 to a positive multiple of ROW; a
 null one counts as empty. Repeated rows are rows like any other, empty tables give empty results, other columns stay."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,53 @@ SILENT = frozenset("script style template noscript title".split())
 MEDIA = frozenset("img video audio source embed".split())
 
 
-class Sequence(HTMLParser):
-    """Collects a page's elements in document order."""
+#: Elements whose content has no tags.
+RAW = frozenset("script style title textarea".split())
+_NAME = re.compile(r"[^\s/>]+")
+_GAP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
+
+
+def start_tag(html: str, at: int) -> tuple[str, dict[str, str | None], int]:
+    """Name and attributes (the first of a name counts) of the tag that opens at at, and where it ends: -1 if the page ends before it."""
+    end = _NAME.match(html, at + 1).end()
+    name, found = html[at + 1 : end].lower(), {}
+    while True:
+        at = _GAP.match(html, end).end()
+        if at >= len(html):
+            return name, found, -1
+        if html[at] == ">":
+            return name, found, at + 1
+        end = _ATTRIBUTE.match(html, at).end()
+        key, value = html[at:end].lower(), None
+        if equals := _EQUALS.match(html, end):
+            at = equals.end()
+            if html[at : at + 1] in ('"', "'"):
+                end = html.find(html[at], at + 1)
+                if end < 0:
+                    return name, found, -1
+                value, end = html[at + 1 : end], end + 1
+            else:
+                end = _BARE.match(html, at).end()
+                value = html[at:end]
+        found.setdefault(key, None if value is None else unescape(value))
+
+
+class Sequence:
+    """Collects a page's elements in document order, in one pass that never goes back: whatever isn't closed reaches to the end of the page.
+
+    A comment, a declaration or any other <! <? </ that begins no end tag ends at its own close and is no text; a < before anything but a letter is
+    text. Script, style, title and textarea hold no tags."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.out: list[dict] = []
         self.parts: list[str] = []
         self.silent = 0
         self.figure: list[int] | None = None
+        self.title = ""
         self.caption: list[str] | None = None
 
     def _flush(self) -> None:
@@ -55,45 +94,79 @@ class Sequence(HTMLParser):
         if text:
             self.out.append({"position": len(self.out), "kind": "text", "text": text, "ref": None, "caption": None})
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def _leave(self) -> None:
+        """The end of a figure: its media get its caption."""
+        for k in self.figure or []:
+            self.out[k]["caption"] = self.title or self.out[k]["caption"]
+        self.figure, self.title = None, ""
+
+    def opened(self, tag: str, attrs: dict[str, str | None]) -> None:
         if tag in SILENT:
             self.silent += 1
         elif tag in BLOCKS:
             self._flush()
             if tag == "figure":
+                self._leave()
                 self.figure = []
             elif tag == "figcaption":
                 self.caption = []
-        elif tag in MEDIA:
-            found = dict(attrs)
-            if found.get("src"):
-                self._flush()
-                if self.figure is not None:
-                    self.figure.append(len(self.out))
-                self.out.append({"position": len(self.out), "kind": "media", "text": None, "ref": found["src"], "caption": found.get("alt")})
-
-    def handle_endtag(self, tag: str) -> None:
+        elif tag in MEDIA and attrs.get("src"):
+            self._flush()
+            if self.figure is not None:
+                self.figure.append(len(self.out))
+            self.out.append({"position": len(self.out), "kind": "media", "text": None, "ref": attrs["src"], "caption": attrs.get("alt")})
+
+    def closed(self, tag: str) -> None:
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag == "figcaption" and self.caption is not None:
             text = " ".join("".join(self.caption).split())
-            if self.figure is None and text:  # outside a figure a caption is text
+            if self.figure is None:  # outside a figure a caption is text
                 self.parts.append(text)
-            for k in self.figure or []:
-                self.out[k]["caption"] = text or self.out[k]["caption"]
+            else:
+                self.title = text or self.title
             self.caption = None
         elif tag in BLOCKS:
             self._flush()
             if tag == "figure":
-                self.figure = None
+                self._leave()
 
-    def handle_data(self, data: str) -> None:
-        if not self.silent:
-            (self.parts if self.caption is None else self.caption).append(data)
+    def said(self, data: str) -> None:
+        if data and not self.silent:
+            (self.parts if self.caption is None else self.caption).append(unescape(data))
 
     def elements(self, html: str) -> list[dict]:
-        self.feed(html)
-        self.close()
+        at = 0
+        while 0 <= at < len(html):
+            tag = html.find("<", at)
+            if tag < 0:
+                tag = len(html)
+            self.said(html[at:tag])
+            mark, after = html[tag + 1 : tag + 2], html[tag + 2 : tag + 3]
+            if not mark or not (mark.isascii() and mark.isalpha() or mark in "!?/"):
+                self.said(html[tag : tag + 1])
+                at = tag + 1
+            elif mark.isalpha():
+                name, attrs, at = start_tag(html, tag)
+                if at < 0:
+                    break
+                self.opened(name, attrs)
+                if name in RAW:
+                    end = _RAW_END[name].search(html, at)
+                    self.said(html[at : end.start() if end else len(html)])
+                    at = end.start() if end else -1
+            elif mark == "/" and after.isascii() and after.isalpha():
+                close = html.find(">", tag)
+                if close >= 0:
+                    self.closed(_NAME.match(html, tag + 2).group().lower())
+                at = close + 1 or -1
+            else:
+                comment = html.startswith("<!--", tag)
+                close = html.find("-->" if comment else ">", tag + 4 if comment else tag)
+                at = close + (3 if comment else 1) if close >= 0 else -1
+        if self.caption is not None:
+            self.closed("figcaption")
+        self._leave()
         self._flush()
         return self.out
 

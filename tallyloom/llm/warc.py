@@ -127,7 +127,7 @@ def shards(index: DataFrame, shard_bytes: int) -> tuple[list[DataFrame], list[st
         sums = [(r.id, r.n) for r in rows.groupBy(F.expr(own).alias("id")).agg(F.sum("n").alias("n")).collect()]
         last = width == 0
         over = [] if last else [i for i, n in sums if i is not None and n > target]
-        leaves += [(i is not None, (i or 0) << width, len(widths), i, n) for i, n in sums if i not in set(over)]
+        leaves += [(i is not None, (i or 0) << width, len(widths), i, n) for i, n in sums if last or i is None or n <= target]
         widths.append(own)
         if not over:
             break

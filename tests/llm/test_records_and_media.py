@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 import zlib
 from html import unescape
 
@@ -143,10 +144,37 @@ def test_page_sequences(spark, small):
     for r in rows:
         assert [e.position for e in r.sequence] == list(range(len(r.sequence))) and r.n_text + r.n_media == len(r.sequence)
         assert r.text_chars == sum(len(e.text) for e in r.sequence if e.kind == "text")
-        # every word outside tags and silent elements is there, in order
+        # every word outside tags, silent elements and captions of figures is there, in order
         bare = re.sub(r"(?is)<(script|style|title|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[!?][^>]*>", " ", html[r.page_id] or "")
+        bare = re.sub(r"(?is)<figure\b.*?</figure\s*>", lambda m: re.sub(r"(?is)<figcaption\b.*?</figcaption\s*>", " ", m[0]), bare)
         told = unescape(re.sub(r"<[^>]*>", " ", bare)).split()
-        assert "".join(w for e in r.sequence for w in ((e.text or "") if e.kind == "text" else "").split()) == "".join(told) or r.n_media
+        assert "".join(w for e in r.sequence if e.kind == "text" for w in e.text.split()) == "".join(told)
+        refs = re.findall(r"""(?is)<(?:img|video|audio|source|embed)\b[^>]*?\ssrc\s*=\s*["']?([^"'\s>]+)""", bare)
+        assert [e.ref for e in r.sequence if e.kind == "media"] == [unescape(x) for x in refs]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<p ", "<!--", "<![", "<!", "<?", "</", "</p", "<figure>", "<figure><img src=x><figcaption>y</figcaption>", "<img src=x><figcaption>y</figcaption>", "<script>", "<a b='", "<a b=", "<p =", "&", "&#x41", "< ", "<title>", "<textarea><b>", "<figcaption>", "<a/", "<p>\n"])
+def test_long_broken_pages_take_linear_time(part):
+    began = time.process_time()
+    found = media.Sequence().elements(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 8
+    assert [e["position"] for e in found] == list(range(len(found)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "/", "!", "--", "[", "]", "a", "figure", "figcaption", "img", " src=", "'", '"', "=", "&amp;", " ", "script", "title", "é", "<p>", "</p>", "<img src=x alt=y>"]), max_size=40))
+def test_no_page_fails(parts):
+    found = media.Sequence().elements("".join(parts))
+    assert [e["position"] for e in found] == list(range(len(found))) and all((e["text"] is None) == (e["kind"] == "media") for e in found)
+
+
+def test_broken_markup_has_a_defined_result():
+    of = lambda html: [e["text"] or (e["ref"], e["caption"]) for e in media.Sequence().elements(html)]
+    assert of("<p>a<![foo[b]]>c</p>") == ["ac"] and of("a<!-- b > c -->d<!e>f<?g>h</ i>j</>k") == ["adfhjk"]
+    assert of("a<!-- never closed <p>b") == ["a"] and of("a <b c='never closed>b") == ["a"] and of("x < y <3 z") == ["x < y <3 z"]
+    assert of("<title>no</title><textarea>a <b> &amp; c</textarea><SCRIPT>if (a</b) x</scriptx></SCRIPT >d") == ["a <b> & cd"]
+    assert of("<img alt='1' SRC='a&amp;b' src=c><img/src=d><img src><img src=''>") == [("a&b", "1"), ("d", None)]
+    assert of("<figure><figcaption>one</figcaption><img src=a alt=b><img src=c></figure><img src=d alt=e><figcaption>two") == [("a", "one"), ("c", "one"), ("d", "e"), "two"]
 
 
 @settings(max_examples=40, deadline=None)
