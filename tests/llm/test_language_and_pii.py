@@ -235,7 +235,7 @@ def test_hidden_data_is_found_and_look_alikes_are_not(trees, spark):
     got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.added} for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), "text", trees).collect()}
     added = sum(map(len, got.values()))
     right = sum(want[k] in spans for k, spans in got.items())
-    assert right / sum(w is not None for w in want.values()) > 0.6 and right / added > 0.95, (right, added)
+    assert right / sum(w is not None for w in want.values()) >= 0.9 and right / added > 0.98, (right, added)
 
 
 def test_clean_documents_stay(trees, spark):
