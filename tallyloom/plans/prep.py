@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as X
 from tallyloom.operators import prep
 from tallyloom.plans.registry import query
+from tallyloom.session import fresh_path
+from tallyloom.sources import resume
 from tallyloom.sources.retail import retail_tx, table
 
 
@@ -73,18 +75,29 @@ _COLORS = "[" + ", ".join(f"'{w}'" for w in X.COLOR_WORDS) + "]"
 _STOPS = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
 
 
-@query(
-    f"""WITH named AS (SELECT DISTINCT 'The ' || p_name || ' set of ' || CAST(p_size AS VARCHAR) || ' ' || p_brand AS description FROM part),
+_FAMILIES = f"""WITH named AS (SELECT DISTINCT 'The ' || p_name || ' set of ' || CAST(p_size AS VARCHAR) || ' ' || p_brand AS description FROM part),
     meant AS (SELECT description, list_filter(regexp_extract_all(upper(description), '[A-Z0-9]+'), lambda t: NOT list_contains({_STOPS}, t)) AS t FROM named),
     parted AS (SELECT description, list_filter(t, lambda x: list_contains({_COLORS}, x) OR (regexp_full_match(x, '[A-Z]{{3,8}}') AND x NOT IN ('SET', 'PACK'))) AS v,
         list_filter(t, lambda x: NOT (list_contains({_COLORS}, x) OR (regexp_full_match(x, '[A-Z]{{3,8}}') AND x NOT IN ('SET', 'PACK')))) AS f FROM meant)
     SELECT description, coalesce(nullif(array_to_string(f[1:4], ' '), ''), description) AS family_name, coalesce(array_to_string(v[1:6], ' '), '') AS variant_hint FROM parted"""
-)
+
+
+@query(_FAMILIES)
 def family_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "part").select(F.concat(F.lit("The "), "p_name", F.lit(" set of "), F.col("p_size").cast("string"), F.lit(" "), "p_brand").alias("description")).distinct()
     return named.select("description", X.heuristic_family(F.col("description")).alias("r")).select("description", "r.family_name", "r.variant_hint")
 
 
+@query(_FAMILIES)
+def resumed_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same families as keyed batches: a first run that stops after half of them, and a second one that goes on."""
+    path = fresh_path(spark, "families")
+    named = table(spark, sf_dir, "part").select(F.concat(F.lit("The "), "p_name", F.lit(" set of "), F.col("p_size").cast("string"), F.lit(" "), "p_brand").alias("description"))
+    work = lambda rows: rows.select("description").distinct().select("description", X.heuristic_family(F.col("description")).alias("r")).select("description", "r.family_name", "r.variant_hint")
+    resume.run(named, "description", work, path, batches=4, most=2)
+    return resume.run(named, "description", work, path, batches=4)
+
+
 @query("SELECT country, CAST(count(*) AS BIGINT) AS n_lines, round(sum(sales_amount), 2) AS total FROM tx WHERE lower(trim(country)) = 'nation_7' AND price > 0 GROUP BY 1", "tx")
 def country_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = retail_tx(spark, sf_dir).where(prep.same_text("country", " Nation_7 ") & (F.col("price") > 0))
