@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +42,14 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_
             at = stop
 
 
+def release() -> None:
+    """An idle worker should not hold what its last task used: give unused memory back, of Arrow's pool and, where the C library can, of the heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], fields: list[T.StructField], keep: list[str] | None = None, limit: int = BATCH_BYTES) -> DataFrame:
     """df's columns (or keep of them) and new ones. make() runs once a task; what it returns gets bounded batches and gives the new
     columns. Columns of df that have the name of a new one are replaced; the text column itself is given to the function either way."""
@@ -56,7 +65,7 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Record
             batches = (b.append_column("__text", b.column(column)) for b in batches)
         for batch in by_bytes(batches, "__text", limit):
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *work(batch)], [*names, *(f.name for f in fields)])
-        pa.default_memory_pool().release_unused()  # an idle worker should not hold what its last task used
+        release()
 
     once = column in names  # the text travels once: under its working name if it isn't kept
     sent = df.select(*[df[n] for n in names], *([] if once else [df[column].alias("__text")]))
