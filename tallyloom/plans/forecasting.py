@@ -10,7 +10,7 @@ from tallyloom.operators import post
 from tallyloom.operators import smoothing as M
 from tallyloom.operators import univariate as U
 from tallyloom.plans.panels import TEST_DAYS, dense, rounded, split
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import ORACLES, query
 
 _LAST = "SELECT *, row_number() OVER (PARTITION BY sku ORDER BY date DESC) AS rn FROM train"
 
@@ -79,9 +79,12 @@ def router(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.route(split(spark, sf_dir)[0])
 
 
-@query()
+@query(
+    f"""SELECT w.sku, w.date, w.y, r.model, round(CASE WHEN r.model = 'tsb' THEN c.pred ELSE w.pred END, 4) AS pred
+    FROM ({ORACLES['weekday_fallback']}) w JOIN ({ORACLES['router']}) r USING (sku) JOIN ({ORACLES['tsb_c0']}) c USING (sku)"""
+)
 def routed_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.routed(*split(spark, sf_dir))
+    return U.routed(*split(spark, sf_dir)).withColumn("pred", F.round("pred", 4))
 
 
 @query(

@@ -89,12 +89,27 @@ def zero_inflated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.recursive(hundreds(train), hundreds(test), model)
 
 
-@query()
+_FOLD = """list_reduce(list_prepend({'p': CASE WHEN v[1] > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 'd': coalesce(pos[1], 0.0::DOUBLE), 'y': 0.0::DOUBLE}, list_transform(v, lambda x: {'p': 0.0::DOUBLE, 'd': 0.0::DOUBLE, 'y': x})),
+    lambda a, x: {'p': alpha_p * (CASE WHEN x.y > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) + (1 - alpha_p) * a.p, 'd': CASE WHEN x.y > 0 THEN alpha_d * x.y + (1 - alpha_d) * a.d ELSE a.d END, 'y': 0.0::DOUBLE})"""
+
+
+@query(
+    f"""WITH days AS (SELECT date, row_number() OVER (ORDER BY date) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM train)),
+    edge AS (SELECT date AS c FROM days WHERE r = greatest(1, least(floor(n * 0.8), n - 1))),
+    settings AS (SELECT CAST(k AS BIGINT) AS candidate, ([0.05, 0.1, 0.2])[k // 3 + 1]::DOUBLE AS alpha_p, ([0.1, 0.2, 0.4])[k % 3 + 1]::DOUBLE AS alpha_d FROM range(9) AS t(k)),
+    s AS (SELECT sku, list(y ORDER BY date) AS v, list(y ORDER BY date) FILTER (WHERE y > 0) AS pos FROM train, edge WHERE date <= c GROUP BY 1),
+    folded AS (SELECT sku, candidate, alpha_p, alpha_d, {_FOLD} AS f FROM s CROSS JOIN settings),
+    rows AS (SELECT candidate, alpha_p, alpha_d, y, greatest(f.p * f.d, 0) AS pred FROM train JOIN edge ON date > c JOIN folded USING (sku)),
+    parts AS (SELECT candidate, alpha_p, alpha_d, avg(least(abs(y - pred) / greatest(abs(y), 1) * 100, 100)) AS error, coalesce(count(*) FILTER (WHERE y <= 0 AND pred > 0) / nullif(count(*) FILTER (WHERE y <= 0), 0), 0) AS fpr,
+        coalesce(avg(pred) FILTER (WHERE y <= 0 AND pred > 0) / greatest(coalesce(quantile_cont(y, 0.5) FILTER (WHERE y > 0), 0), 1) * 100, 0) AS over FROM rows GROUP BY ALL)
+    SELECT candidate, alpha_p, alpha_d, round(error, 4) AS error, round(fpr, 4) AS fpr, round(over, 4) AS over, round(error + 50 * fpr + 0.2 * over, 4) AS score FROM parts""",
+    "train",
+)
 def tsb_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all smoothing settings on the last fifth of the training days."""
     parts = fraction_split(split(spark, sf_dir)[0])
     candidates = R.grid(spark, {"alpha_p": [0.05, 0.1, 0.2], "alpha_d": [0.1, 0.2, 0.4]})
-    return R.search_tsb(parts.where("NOT is_valid").drop("is_valid"), parts.where("is_valid").drop("is_valid"), candidates)
+    return rounded(R.search_tsb(parts.where("NOT is_valid").drop("is_valid"), parts.where("is_valid").drop("is_valid"), candidates), 4)
 
 
 @query()
