@@ -143,7 +143,21 @@ def ewm_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sku", "date", F.round("ewm_mean_7", 6).alias("ewm_mean_7"))
 
 
-@query()
+def _mean(value: str, span: int, days: int) -> str:
+    """SQL for the weighted mean up to a day: what lies further back than `days` has a weight below 1e-12."""
+    a = f"(2::DOUBLE / {span + 1})"
+    return f"list_reduce(list({value}) {_W} ROWS BETWEEN {days} PRECEDING AND CURRENT ROW), lambda a, x: a * (1 - {a}) + x * {a})"
+
+
+@query(
+    f"""WITH pos AS (SELECT sku, date, y, pow(13::DOUBLE / 15, date - lag(date) {_W})) AS old FROM panel WHERE y > 0),
+    e AS (SELECT sku, date, (list_reduce(list({{'x': y, 'c': coalesce(old / (old + 2::DOUBLE / 15), 0)}}) {_W} ROWS BETWEEN 299 PRECEDING AND CURRENT ROW), lambda a, s: {{'x': s.c * a.x + (1 - s.c) * s.x, 'c': 0::DOUBLE}})).x AS e FROM pos),
+    m AS (SELECT panel.sku, panel.date, {_mean('panel.y', 7, 199).replace('OVER (PARTITION BY sku ORDER BY date', 'OVER (PARTITION BY panel.sku ORDER BY panel.date')} AS a, {_mean('panel.y', 28, 449).replace('OVER (PARTITION BY sku ORDER BY date', 'OVER (PARTITION BY panel.sku ORDER BY panel.date')} AS b,
+        {_mean('CASE WHEN panel.y > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END', 14, 249).replace('OVER (PARTITION BY sku ORDER BY date', 'OVER (PARTITION BY panel.sku ORDER BY panel.date')} AS p,
+        last_value(e IGNORE NULLS) OVER (PARTITION BY panel.sku ORDER BY panel.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM panel LEFT JOIN e ON e.sku = panel.sku AND e.date = panel.date)
+    SELECT sku, date, round(coalesce(lag(a) {_W}), 0), 6) AS ewm_mean_7, round(coalesce(lag(b) {_W}), 0), 6) AS ewm_mean_28, round(coalesce(lag(p) {_W}), 0), 6) AS ewm_sale_prob_14, round(coalesce(lag(q) {_W}), 0), 6) AS ewm_pos_mean_14 FROM m""",
+    "panel",
+)
 def ewm_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means, sale probabilities and means of positive days alone, whose gaps count as time."""
     specs = {"ewm_mean_7": (lambda y: y, 7), "ewm_mean_28": (lambda y: y, 28), "ewm_sale_prob_14": (lambda y: (y > 0).cast("double"), 14), "ewm_pos_mean_14": (lambda y: F.when(y > 0, y), 14)}
