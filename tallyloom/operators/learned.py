@@ -12,13 +12,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import calendar
 from tallyloom.operators import counts
 from tallyloom.operators import history as H
+from tallyloom.operators.design import Design
 from tallyloom.session import ship
 
 LAGS, WINDOWS = (1, 7, 14, 28), (7, 28)
@@ -95,13 +97,14 @@ class TwoStage:
     tau: float = 0.2
     anchor: float = 0.0
     floor: float = 0.0
+    cap: float = math.inf
 
     def __call__(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forecast and probability of a sale."""
         p = np.full(len(rows), self.rate) if self.occurs is None else 1 / (1 + np.exp(-2 * self.occurs(rows)))
         size = np.zeros(len(rows)) if self.size is None else np.maximum(np.expm1(np.minimum(self.size(rows) + self.spread / 2, 30.0)), 0)
         pred = (1 - self.anchor) * np.maximum(p * size, 0) + self.anchor * rows[:, FEATURES.index("lag_7")]
-        pred = np.where(p >= self.tau, pred, 0.0)
+        pred = np.minimum(np.where(p >= self.tau, pred, 0.0), self.cap)
         return np.where(pred >= self.floor, pred, 0.0), p
 
 
@@ -109,28 +112,67 @@ def _vector(rows: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
 
 
+def occurrence_trees(data: DataFrame, trees: int = 15, depth: int = 4, seed: int = 42, leaf: int = 20) -> Trees:
+    """Boosted trees for the label (both classes must occur) over the vectors of features."""
+    return export_trees(GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, minInstancesPerNode=leaf).fit(data))
+
+
+def size_trees(sold: DataFrame, trees: int = 15, depth: int = 4, weight: str | None = None, seed: int = 42, leaf: int = 20) -> tuple[Trees, float]:
+    """Boosted trees for the target of sale days, and the variance of what they leave."""
+    model = GBTRegressor(labelCol="target", maxIter=trees, maxDepth=depth, seed=seed, minInstancesPerNode=leaf, **({"weightCol": weight} if weight else {})).fit(sold)
+    spread = model.transform(sold).agg(F.var_samp(F.col("target") - F.col("prediction"))).first()[0]
+    return export_trees(model), max(float(spread or 0.0), 0.0)
+
+
 def fit_two_stage(rows: DataFrame, trees: int = 15, depth: int = 4, weight: str | None = None, seed: int = 42, **decisions: float) -> TwoStage:
     """Trees for whether a day has a sale, and for the log of its size; the variance of the size's residuals corrects its mean."""
     data = _vector(rows).withColumn("label", (F.col("y") > 0).cast("double")).persist()
     try:
         counted = data.agg(F.sum("label").alias("pos"), F.count("*").alias("n")).first()
         pos, n = counted.pos or 0.0, counted.n
-        occurs = export_trees(GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, minInstancesPerNode=20).fit(data)) if 0 < pos < n else None
+        occurs = occurrence_trees(data, trees, depth, seed) if 0 < pos < n else None
         if not pos:
             return TwoStage(occurs, 0.0, None, 0.0, **decisions)
         sold = data.where("label = 1").withColumn("target", F.log1p("y"))
-        model = GBTRegressor(labelCol="target", maxIter=trees, maxDepth=depth, seed=seed, minInstancesPerNode=20, **({"weightCol": weight} if weight else {})).fit(sold)
-        spread = model.transform(sold).agg(F.var_samp(F.col("target") - F.col("prediction"))).first()[0] if pos > 20 else 0.0
-        return TwoStage(occurs, pos / n, export_trees(model), max(float(spread or 0.0), 0.0), **decisions)
+        size, spread = size_trees(sold, trees, depth, weight, seed)
+        return TwoStage(occurs, pos / n, size, spread if pos > 20 else 0.0, **decisions)
     finally:
         data.unpersist()
 
 
-def fit_global(rows: DataFrame, trees: int = 15, depth: int = 4, weight: str | None = None, seed: int = 42) -> TwoStage:
-    """One regression of the log of clipped demand over all skus: a two-stage model that always sells."""
-    data = _vector(rows).withColumn("target", F.log1p(F.greatest("y", F.lit(0.0))))
-    model = GBTRegressor(labelCol="target", maxIter=trees, maxDepth=depth, seed=seed, **({"weightCol": weight} if weight else {})).fit(data)
-    return TwoStage(None, 1.0, export_trees(model), 0.0, tau=0.0)
+@dataclass
+class LogLinear:
+    """The log of one more than demand has a mean whose log is linear in standardised features."""
+
+    design: Design
+    weights: np.ndarray
+    cap: float = math.inf
+
+    def __call__(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean = np.exp(np.clip(self.design.values(rows) @ self.weights, -30.0, math.log(30.0)))
+        return np.minimum(np.expm1(mean), self.cap), np.ones(len(rows))
+
+
+#: Losses of fit_global(): the first two by boosted trees, the others by a log link.
+LOSSES = ("squared", "absolute", "poisson", "tweedie")
+
+
+def fit_global(rows: DataFrame, trees: int = 15, depth: int = 4, weight: str | None = None, seed: int = 42, loss: str = "squared", power: float = 1.5, cap: float = math.inf) -> TwoStage | LogLinear:
+    """One regression of the log of clipped demand over all skus, which always sells. loss is one of LOSSES; power is that of Tweedie's variance, between 1 and 2."""
+    if loss not in LOSSES:
+        raise ValueError(f"loss must be one of {LOSSES}")
+    weighted = {"weightCol": weight} if weight else {}
+    target = F.log1p(F.greatest("y", F.lit(0.0)))
+    if loss in ("squared", "absolute"):
+        data = _vector(rows).withColumn("target", target)
+        model = GBTRegressor(labelCol="target", maxIter=trees, maxDepth=depth, seed=seed, lossType=loss, **weighted).fit(data)
+        return TwoStage(None, 1.0, export_trees(model), 0.0, tau=0.0, cap=cap)
+    design = Design.fit(rows, FEATURES)
+    data = rows.select(target.alias("target"), array_to_vector(F.array(*[design.number(c) for c in FEATURES])).alias("features"), *weighted.values())
+    family = {"family": "poisson", "link": "log"} if loss == "poisson" else {"family": "tweedie", "variancePower": power, "linkPower": 0.0}
+    # a little ridge, as features may be constant or one the sum of others
+    model = GeneralizedLinearRegression(labelCol="target", regParam=1e-6, **family, **weighted).fit(data)
+    return LogLinear(design, np.r_[model.intercept, model.coefficients.toArray()], cap)
 
 
 def fit_counts(rows: DataFrame, steps: int = counts.STEPS, cap: float = 200.0, dispersion: bool = True) -> counts.CountModel:
@@ -179,33 +221,61 @@ def reduced_history(train: DataFrame) -> DataFrame:
     return rows.groupBy("sku").agg(F.count("*").alias("n"), F.coalesce(F.min(F.when(F.col("y") > 0, F.col("ago"))).cast("double"), F.lit(float(H.NEVER))).alias("since"), held.alias("last"))
 
 
-def recursive(train: DataFrame, future: DataFrame, model: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], raw_state: bool = False, together: int = SERIES) -> DataFrame:
-    """future's rows with pred and p_sale: each day's forecast becomes history of the next. Histories are reduced in Catalyst to a row a sku; series are independent,
-    so about `together` of them form a group, which steps all of them a day at a time with one call of the model. raw_state: the state takes
-    forecasts before the gate."""
-    ship(train.sparkSession)
-    groups = max(1, -(-future.select("sku").distinct().count() // together))
-    group = F.pmod(F.xxhash64("sku"), F.lit(groups)).alias("group")
+Model = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-    def each(past: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
-        ahead = ahead.sort_values(["sku", "date"])
-        known = past.set_index("sku")
-        names = ahead["sku"].unique()
-        held = [known.loc[s] if s in known.index else None for s in names]
+
+def _walk(past: pd.DataFrame, ahead: pd.DataFrame, models: list[Model], raw_state: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Forecasts and probabilities of ahead's rows (in order of sku and date) by each model, from histories as reduced_history() has them."""
+    known = past.set_index("sku")
+    names = ahead["sku"].unique()
+    held = [known.loc[s] if s in known.index else None for s in names]
+    of, step = pd.Categorical(ahead["sku"], names).codes.astype(int), ahead.groupby("sku").cumcount().to_numpy()
+    days, out = pd.DatetimeIndex(ahead["date"]), []
+    for model in models:
         state = Histories.reduced([0 if h is None else h["n"] for h in held], [H.NEVER if h is None else h["since"] for h in held], [np.zeros(0) if h is None else np.asarray(h["last"], float) for h in held]) if len(names) else None
-        of, step = pd.Categorical(ahead["sku"], names).codes.astype(int), ahead.groupby("sku").cumcount().to_numpy()
-        days, preds, ps = pd.DatetimeIndex(ahead["date"]), np.zeros(len(ahead)), np.zeros(len(ahead))
+        preds, ps = np.zeros(len(ahead)), np.zeros(len(ahead))
         for t in range(int(step.max(initial=-1)) + 1):
             at = np.flatnonzero(step == t)
             pred, p = model(state.features(of[at], days[at]))
             preds[at], ps[at] = pred, p
             state.append(of[at], np.where(pred == 0, p * pred, pred) if raw_state else pred, pred > 0)
-        return pd.DataFrame({"sku": ahead["sku"], "date": ahead["date"], "y": ahead["y"].astype(float), "pred": preds, "p_sale": ps})
+        out.append((preds, ps))
+    return out
+
 
+def _cogrouped(train: DataFrame, future: DataFrame, each: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, together: int) -> DataFrame:
+    """each() over groups of about `together` skus: their reduced histories and future rows."""
+    ship(train.sparkSession)
+    groups = max(1, -(-future.select("sku").distinct().count() // together))
+    group = F.pmod(F.xxhash64("sku"), F.lit(groups)).alias("group")
     # both sides may come of one table: aliases give their columns names of their own
     left = reduced_history(train).select(*[F.col(c).alias(c) for c in ("sku", "n", "since", "last")], group)
     right = future.select(*[F.col(c).alias(c) for c in ("sku", "date", "y")], group)
-    return left.groupBy("group").cogroup(right.groupBy("group")).applyInPandas(each, "sku string, date date, y double, pred double, p_sale double")
+    return left.groupBy("group").cogroup(right.groupBy("group")).applyInPandas(each, schema)
+
+
+def recursive(train: DataFrame, future: DataFrame, model: Model, raw_state: bool = False, together: int = SERIES) -> DataFrame:
+    """future's rows with pred and p_sale: each day's forecast becomes history of the next. Histories are reduced in Catalyst to a row a sku; series are independent,
+    so about `together` of them form a group, which steps all of them a day at a time with one call of the model. raw_state: the state takes
+    forecasts before the gate."""
+
+    def each(past: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
+        ahead = ahead.sort_values(["sku", "date"])
+        pred, p = _walk(past, ahead, [model], raw_state)[0]
+        return pd.DataFrame({"sku": ahead["sku"], "date": ahead["date"], "y": ahead["y"].astype(float), "pred": pred, "p_sale": p})
+
+    return _cogrouped(train, future, each, "sku string, date date, y double, pred double, p_sale double", together)
+
+
+def recursive_each(train: DataFrame, future: DataFrame, models: list[Model], raw_state: bool = False, together: int = SERIES) -> DataFrame:
+    """The same by several models at once: future's rows with preds, an array of a forecast by each. Histories and days are shuffled once, whatever the number of models."""
+
+    def each(past: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
+        ahead = ahead.sort_values(["sku", "date"])
+        preds = np.stack([pred for pred, _ in _walk(past, ahead, models, raw_state)], 1)
+        return pd.DataFrame({"sku": ahead["sku"], "date": ahead["date"], "y": ahead["y"].astype(float), "preds": list(preds)})
+
+    return _cogrouped(train, future, each, "sku string, date date, y double, preds array<double>", together)
 
 
 def score(rows: DataFrame, model: TwoStage) -> DataFrame:

@@ -89,9 +89,10 @@ def bias(y: Column, pred: Column, eps: float = 1.0) -> list[Column]:
     ]
 
 
-def flatness(df: DataFrame, level: float = 0.45, diff: float = 0.5, eps: float = 1.0) -> DataFrame:
-    """One row: the penalty for daily totals that vary less, or move less from day to day, than the actual ones."""
-    daily = df.groupBy("date").agg(F.sum("y").alias("a"), F.sum("pred").alias("p"))
-    moved = daily.withColumns({"da": F.col("a") - F.lag("a").over(Window.orderBy("date")), "dp": F.col("p") - F.lag("p").over(Window.orderBy("date"))})  # a row per day
+def flatness(df: DataFrame, level: float = 0.45, diff: float = 0.5, eps: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of by): the penalty for daily totals that vary less, or move less from day to day, than the actual ones."""
+    daily = df.groupBy(*by, "date").agg(F.sum("y").alias("a"), F.sum("pred").alias("p"))
+    order = Window.partitionBy(*by).orderBy("date")
+    moved = daily.withColumns({"da": F.col("a") - F.lag("a").over(order), "dp": F.col("p") - F.lag("p").over(order)})  # a row per day
     short = lambda least, p, a: F.greatest(F.lit(0.0), F.lit(least) - F.stddev_pop(p) / F.greatest(F.stddev_pop(a), F.lit(eps)))
-    return moved.agg((100.0 * (short(level, "p", "a") + 1.25 * F.coalesce(short(diff, "dp", "da"), F.lit(0.0)))).alias("flatness"))
+    return moved.groupBy(*by).agg((100.0 * (short(level, "p", "a") + 1.25 * F.coalesce(short(diff, "dp", "da"), F.lit(0.0)))).alias("flatness"))

@@ -12,11 +12,16 @@ from tallyloom.operators import metrics as M
 from tallyloom.operators.panel import series
 
 
-def grid(spark: SparkSession, space: dict[str, list[float]], draws: int | None = None, seed: int = 42) -> DataFrame:
-    """All combinations of a space, or so many of them without repetition: a row each."""
+def combinations(space: dict[str, list], draws: int | None = None, seed: int = 42) -> list[dict]:
+    """All combinations of a space, or so many of them without repetition."""
     every = list(itertools.product(*space.values()))
     chosen = every if draws is None or draws >= len(every) else random.Random(seed).sample(every, draws)
-    return spark.createDataFrame([(k, *map(float, c)) for k, c in enumerate(chosen)], ["candidate", *space])
+    return [dict(zip(space, c, strict=True)) for c in chosen]
+
+
+def grid(spark: SparkSession, space: dict[str, list[float]], draws: int | None = None, seed: int = 42) -> DataFrame:
+    """The same as a small table: a row each."""
+    return spark.createDataFrame([(k, *map(float, c.values())) for k, c in enumerate(combinations(space, draws, seed))], ["candidate", *space])
 
 
 def search_tsb(train: DataFrame, valid: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import contains_words, is_blank, normalize_text, product_key
@@ -10,7 +10,7 @@ from tallyloom.operators import names
 from tallyloom.operators.panel import gap_filled_weeks
 from tallyloom.operators.prep import top_values
 from tallyloom.session import materialize
-from tallyloom.sources.tables import FORECAST_SCHEMA
+from tallyloom.sources.tables import FORECAST_SCHEMA, exists, read_table, write_table
 
 #: Model of each cluster: id, name, prediction column, probability column. Fixed values.
 MODELS = {0: ("c0_two_stage", "Two-stage boosted trees", "pred_two_stage_lgbm", "p_sale"), 1: ("c1_zinb", "ZINB", "pred_zinb", "p_sale"), 2: ("c2_global", "Global boosted trees", "pred_global_lgbm", None), 3: ("c3_two_stage", "Two-stage boosted trees", "pred_two_stage", "p_sale")}
@@ -53,6 +53,31 @@ def canonical(pred: DataFrame, cluster: int, generated_at: str, metadata: DataFr
     return rows.select(*[c.alias(n) for n, c in out.items()], *extra)
 
 
+def write_asset(df: DataFrame, path: str) -> DataFrame:
+    """df's canonical columns written at path (by suffix) and read again; an error unless the rows that are read are those that were written (an aggregate of
+    their hashes on either side)."""
+    kept = materialize(validate_forecast(df).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FORECAST_SCHEMA]), "asset")
+    write_table(kept, path)
+    back = validate_forecast(read_table(df.sparkSession, path, FORECAST_SCHEMA))
+    told = lambda rows: rows.agg(F.count("*"), F.sum(F.xxhash64(*FORECAST_SCHEMA.names).cast("decimal(38,0)"))).first()
+    if told(kept) != told(back):
+        raise ValueError(f"what was read at {path} isn't what was written")
+    return back
+
+
+def observed_history(spark: SparkSession, path: str, product: str | None = None, days: int | None = None) -> DataFrame:
+    """sku, date and y of a stored panel, of one product (null or blank: of all) and of the last so many days that the product has; no rows where nothing is stored at path."""
+    schema = "sku string, date date, y double"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = read_table(spark, path).select(F.col("sku").cast("string").alias("sku"), F.to_date("date").alias("date"), F.col("y").cast("double").alias("y"))
+    rows = rows if product is None or not product.strip() else rows.where(F.col("sku") == product.strip())
+    if days is None:
+        return rows
+    last = rows.groupBy("sku").agg(F.date_sub(F.max("date"), days).alias("__after"))
+    return rows.join(last, "sku").where(F.col("date") > F.col("__after")).drop("__after")
+
+
 def product_metadata(tx: DataFrame, family: str = "product_family_name", code: str = "stock_code", desc: str = "description", order: str = "invoice") -> DataFrame:
     """Per family: its most frequent code as id, aliases (name, codes, descriptions), and descriptions."""
     codes, descriptions = top_values(tx, family, code, order).withColumnRenamed("top", "codes"), top_values(tx, family, desc, order).withColumnRenamed("top", "description_examples")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from tallyloom.operators import univariate as U
 from tallyloom.operators.panel import future_grid
 from tallyloom.plans.panels import dense, split
 from tallyloom.plans.registry import query
-from tallyloom.session import materialize
+from tallyloom.session import fresh_path, materialize
 from tallyloom.sources.retail import retail_tx, table
 
 BUILT = "2024-01-01T00:00:00Z"
@@ -166,3 +168,22 @@ def future_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = L.fit_two_stage(L.training_rows(panel), tau=0.25)
     pred = L.recursive(panel, future_grid(panel, V.LONGEST_HORIZON), model).drop("y").withColumnsRenamed({"sku": "product_family_name", "pred": "pred_two_stage_lgbm"})
     return V.canonical(pred, 0, BUILT, metadata(spark, sf_dir))
+
+
+@query()
+def future_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """90 days ahead of every series by the model of each cluster, fitted on all known days: each written as an asset, read again and checked. The first and the
+    last model share their trees and differ in their decisions; counts are of hundreds."""
+    panel, known = materialize(dense(spark, sf_dir), "panel"), materialize(metadata(spark, sf_dir), "metadata")
+    hundreds = panel.withColumn("y", F.greatest(F.col("y") / 100, F.lit(0.0)))
+    rows = materialize(L.training_rows(panel), "rows")
+    two = L.fit_two_stage(rows, tau=0.25)
+    whole = L.fit_global(L.weight(rows), weight="weight")
+    counted = L.fit_counts(L.training_rows(hundreds), cap=2000.0)
+    out = None
+    for cluster, past, model in ((0, panel, two), (1, hundreds, counted), (2, panel, whole), (3, panel, replace(two, tau=0.2, anchor=0.4))):
+        pred = L.recursive(past, future_grid(panel, V.LONGEST_HORIZON), model, raw_state=cluster == 2).drop("y").withColumn("pred", F.col("pred") * (100 if cluster == 1 else 1))
+        named = pred.withColumnsRenamed({"sku": "product_family_name", "pred": V.MODELS[cluster][2]})
+        back = V.write_asset(V.canonical(named, cluster, BUILT, known), fresh_path(spark, f"asset-{cluster}") + ".csv")
+        out = back if out is None else out.unionByName(back)
+    return out
