@@ -1,11 +1,10 @@
-"""Searches over fitted models, and the scoring of given forecasts that SQL can say."""
+"""The scoring of given forecasts by the searches' objectives, which SQL can say."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import learned as L
 from tallyloom.operators import tuning as T
 from tallyloom.operators import univariate as U
 from tallyloom.operators.panel import fraction_split
@@ -82,28 +81,3 @@ def staged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     trail = T.stages(rows.select("sku", "date", "y", known("p0", "p1").alias("ps"), known("s0", "s1").alias("sizes")), core)
     exact = ("tau", "alpha", "cap_q", "lambda_fp", "lambda_over", "lambda_recall")
     return rounded(trail.drop("cap"), 4).select("stage", "occurrence", F.coalesce("size_model", F.lit(-1)).alias("size_model"), *exact, "recall", "fpr", "pred_rate", "actual_rate", "wmape", "positive_mape", "over", "score", "is_best")
-
-
-@query()
-def staged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trail of the two-stage search: occurrence trees and gates, then size trees, scales, caps and penalties."""
-    return T.staged_search(split(spark, sf_dir)[0], [{"trees": 8, "depth": 3}, {"trees": 12, "depth": 4}], [{"trees": 8, "depth": 3}, {"trees": 12, "depth": 4, "leaf": 50}])
-
-
-@query()
-def count_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gates, clips and caps of the zero-inflated counts of demand in hundreds, on the last days of training."""
-    train = split(spark, sf_dir)[0].withColumn("y", F.greatest(F.col("y") / 100, F.lit(0.0)))
-    return T.tune_counts(train, steps=12)
-
-
-@query()
-def two_stage_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gates and weekly anchors of the two-stage trees, on the last days of training."""
-    return T.tune_two_stage(split(spark, sf_dir)[0])
-
-
-@query()
-def global_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drawn settings of the global model, every loss among them."""
-    return T.search_global(split(spark, sf_dir)[0], None, {"loss": list(L.LOSSES), "trees": [10], "depth": [4], "cap_q": [0.98, 0.995], "recent": [2.0]})
