@@ -74,9 +74,16 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGL
     return map_texts(docs, text, make, [T.StructField("fp", T.LongType())], keep)
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, pair by pair: of one word each, or of a row of words."""
+    counts = np.bitwise_count(a ^ b)
+    return counts.astype(np.int64) if counts.ndim == 1 else sum(counts[:, k].astype(np.int64) for k in range(counts.shape[1]))
+
+
 def grow(fps: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """BK-trees of all fingerprints with the same tree number: parent and edge of each node (-1 for roots), and the roots. A level at
-    a time: of the fingerprints that wait at a node with the same distance, the first becomes its child, the others go on to it."""
+    """BK-trees of all fingerprints (words, or rows of words) with the same tree number: parent and edge of each node (-1 for roots), and the
+    roots. A level at a time: of the fingerprints that wait at a node with the same distance, the first becomes its child, the others go on to it."""
+    stride = 1 + 64 * (fps.size // max(len(fps), 1))
     parent, edge = np.full(len(fps), -1), np.full(len(fps), -1)
     _, roots = np.unique(tree, return_index=True)
     wait = np.ones(len(fps), bool)
@@ -84,8 +91,8 @@ def grow(fps: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     waiting = np.flatnonzero(wait)
     at = roots[np.searchsorted(tree[roots], tree[waiting])]
     while len(waiting):
-        distance = np.bitwise_count(fps[waiting] ^ fps[at]).astype(np.int64)
-        _, first, group = np.unique(at * 65 + distance, return_index=True, return_inverse=True)
+        distance = apart(fps[waiting], fps[at])
+        _, first, group = np.unique(at * stride + distance, return_index=True, return_inverse=True)
         parent[waiting[first]], edge[waiting[first]] = at[first], distance[first]
         at = waiting[first][group]
         stay = np.ones(len(waiting), bool)
@@ -97,21 +104,27 @@ def grow(fps: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def search(fps: np.ndarray, tree: np.ndarray, queries: np.ndarray, of: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, node) of all pairs within radius; tree must be sorted, of holds each query's tree."""
     parent, edge, roots = grow(fps, tree)
-    order = np.argsort(parent * 65 + edge, kind="stable")
-    keys = (parent * 65 + edge)[order]
-    for k in range(0, len(queries), FRONTIER // 16):
-        query = np.arange(k, min(len(queries), k + FRONTIER // 16))
+    words = fps.size // max(len(fps), 1)
+    stride, most = 1 + 64 * words, FRONTIER // max(words, 1)
+    order = np.argsort(parent * stride + edge, kind="stable")
+    keys = (parent * stride + edge)[order]
+    inner = np.zeros(len(fps), bool)
+    inner[parent[parent >= 0]] = True
+    for k in range(0, len(queries), most // 16):
+        query = np.arange(k, min(len(queries), k + most // 16))
         stack = [(query, roots[np.searchsorted(tree[roots], of[query])])]
         while stack:
             query, node = stack.pop()
-            if len(query) > FRONTIER:
-                stack += [(query[i : i + FRONTIER], node[i : i + FRONTIER]) for i in range(0, len(query), FRONTIER)]
+            if len(query) > most:
+                stack += [(query[i : i + most], node[i : i + most]) for i in range(0, len(query), most)]
                 continue
-            distance = np.bitwise_count(queries[query] ^ fps[node]).astype(np.int64)
+            distance = apart(queries[query], fps[node])
             hit = distance <= radius
             yield query[hit], node[hit]
-            low = np.searchsorted(keys, node * 65 + np.maximum(distance - radius, 0))
-            counts = np.searchsorted(keys, node * 65 + np.minimum(distance + radius, 64), "right") - low
+            on = inner[node]
+            query, node, distance = query[on], node[on], distance[on]
+            low = np.searchsorted(keys, node * stride + np.maximum(distance - radius, 0))
+            counts = np.searchsorted(keys, node * stride + np.minimum(distance + radius, stride - 1), "right") - low
             if counts.any():
                 stack.append((np.repeat(query, counts), order[ragged(low, counts)]))
 

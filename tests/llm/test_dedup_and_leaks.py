@@ -9,6 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from tallyloom.llm import decontaminate as D
 from tallyloom.llm import shingles as N
 from tallyloom.llm import simhash as S
@@ -235,5 +236,54 @@ def test_planted_near_copies_are_dropped(spark, monkeypatch, block):
     assert not any(1000 <= d < 3000 for d in got) and sum(d // 1000 == 4 for d in got) == 120
 
 
+def grouped(pairs):
+    root = {}
+
+    def find(k):
+        while root.setdefault(k, k) != k:
+            k = root[k]
+        return k
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    groups = defaultdict(set)
+    for k in list(root):
+        groups[find(k)].add(k)
+    return {frozenset(g) for g in groups.values()}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 4), st.sampled_from([5, 20, 74]))
+def test_tree_links_of_wide_fingerprints(seed, n, shards, within):
+    """Links over BK-trees of 256-bit fingerprints span what all pairs within a shard link."""
+    rng = np.random.default_rng(seed)
+    centers = rng.integers(0, 1 << 64, (3, 4), np.uint64)
+    noise = np.packbits(rng.random((n, 256)) < rng.choice([0.01, 0.1, 0.2], (n, 1)), axis=1).view("<u8")
+    fps, shard, names = centers[rng.integers(3, size=n)] ^ noise, np.sort(rng.integers(shards, size=n)), rng.permutation(n)
+    got = N.near_links(shard, names, fps, within)
+    near = [(int(names[i]), int(names[j])) for i in range(n) for j in range(i) if shard[i] == shard[j] and int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= within]
+    assert grouped(zip(*map(np.ndarray.tolist, got), strict=True)) == grouped(near)
+
+
+@pytest.mark.parametrize("tree_nodes", [N.TREE_NODES, 3])
+def test_near_dedup_of_the_pipeline_is_by_simhash_trees(spark, monkeypatch, tree_nodes):
+    """Candidates are what SimHash shards and their trees propose; all of 600 pairs of similarity 0.8 to 0.83, of short texts also, are among them."""
+    rng = np.random.default_rng(11)
+    asked, own = [], N.candidates
+    monkeypatch.setattr(N, "candidates", lambda prints, least=N.LEAST: asked.append(own(prints, least, tree_nodes)) or asked[-1])
+    texts = []
+    for k in range(600):
+        n = (8, 9, 12, 40, 200)[k % 5]
+        own_words = [f"w{rng.integers(10**6)}" for _ in range(n)]
+        copy = own_words[:-1] if n < 10 else own_words[: -max(1, (n - 4) // 6)]
+        sets = brute_sets([" ".join(own_words), " ".join(copy)])
+        texts += [(2 * k, " ".join(own_words)), (2 * k + 1, " ".join(copy))]
+        assert len(sets[1]) >= 0.8 * len(sets[0]) or n == 8
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == brute_near([t for _, t in texts], [d for d, _ in texts]) and len(got) == 720
+    assert len(asked) == 1 and asked[0].columns == ["fp", "to"] and asked[0].count() >= 480
+
+
 def test_near_copies_of_edge_cases(edge_docs, no_docs):
     assert N.keep_one(no_docs).count() == 0 and N.keep_one(edge_docs).columns == edge_docs.columns
