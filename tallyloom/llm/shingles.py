@@ -4,9 +4,9 @@ A text is the set of XXH64 hashes of its runs of SHINGLE words. Sets of a simila
 links are near copies of each other. Equal sets are first reduced to one; sets so small that one more shingle is too much (below 4) are similar to
 no other. A set's fingerprint is the majority of its hashes, bit by bit, over WORDS words of 64 bits: at a similarity of 0.8 a bit differs
 with probability 0.152, between unlike sets with 0.5. That is too many for bands that leave no pair out, so shards are drawn: the values
-of some bits (the more sets, the more bits, for SHARD sets a shard), for so many choices of bits that a pair at LEAST meets in none of them
+of some bits (SHARD_BITS; one more for four times the sets, so that neither the shards of a set nor its pairs in them become many), for so many choices of bits that a pair at LEAST meets in none of them
 with probability LOST (0.00007); sets of at most SMALL shingles, whose bits differ more often, are in more of them. Each shard gets a BK-tree
-over the first TREE_WORDS words; its radius is the distance expected at LEAST and six deviations (74 of 256 bits). Trees reach their shard's
+over the first TREE_WORDS words; its radius is the distance expected at LEAST and six deviations (59 of 192 bits). Trees reach their shard's
 queries by a shuffle, as in simhash.py, whose trees these are. What lies within the radius of a tree's first member is linked to that and
 needs no search for its like; it asks a tree of the others. At this radius a tree leaves out other groups of near copies but few single nodes,
 so small shards, not trees, keep the number of compared pairs low. A shard of more than TREE_NODES sets, which only texts alike are, isn't
@@ -42,9 +42,9 @@ SHINGLE = 5
 LEAST = 0.8
 #: 64-bit words of a fingerprint, and those of them that trees measure.
 WORDS = 16
-TREE_WORDS = 4
-#: Sets in a shard, about, and most nodes of its tree.
-SHARD = 128
+TREE_WORDS = 3
+#: Bits of a shard in a table of 2^18 sets (128 sets a shard, about); one more for four times as many. And most nodes of a tree.
+SHARD_BITS = 11
 TREE_NODES = 1 << 13
 #: Probability that a pair at the least similarity meets in no shard.
 LOST = 7e-5
@@ -98,9 +98,9 @@ def radius(least: float = LEAST) -> int:
 
 
 def drawn(sets: int, differ: float) -> list[list[int]]:
-    """Masks of all words (signed longs) for each choice of bits: bits for shards of about SHARD of so many sets, choices until a pair whose bits
+    """Masks of all words (signed longs) for each choice of bits: bits for so many sets, choices until a pair whose bits
     differ with this probability meets in one of them, but for LOST. All bits are used up before one is drawn again."""
-    whole, bits = 64 * WORDS, min(32, max(4, math.ceil(math.log2(max(sets, 1) / SHARD))))
+    whole, bits = 64 * WORDS, max(4, round(SHARD_BITS + (math.log2(max(sets, 1)) - 18) / 2))
     d = np.arange(whole + 1)
     log = np.concatenate([[0], np.cumsum(np.log(np.arange(1, whole + 1)))])
     chance = np.exp(log[whole] - log[d] - log[whole - d] + d * math.log(differ) + (whole - d) * math.log1p(-differ))
