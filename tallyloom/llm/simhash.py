@@ -7,8 +7,8 @@ than TREE_NODES fingerprints is divided by bands of its other bits in the same w
 children hang from their parent by their integer Hamming distance to it. Trees aren't broadcast from the driver, which trees of all
 documents would not fit: a tree meets the queries of its shard by Spark's shuffle. A search follows only edges within RADIUS of the
 query's distance to the node. A batch of shards forms one forest, built and searched level by level in numpy. Only spanning links leave a shard: each
-fingerprint to the least one that it reaches there. Components over all links come from alternating large-star and small-star steps
-over tables in the shared folder. Documents, links and fingerprints never go to the driver.
+fingerprint to the least one that it reaches there. Links of all shards are reduced to spanning ones again, by name; components over these come
+from alternating large-star and small-star steps over tables in the shared folder. Documents, links and fingerprints never go to the driver.
 
 Defined results: a null text, like one without words, has fingerprint zero and links like any other. A null doc_id is never a
 component's smallest; a component without any other has component_id null. Rows of equal doc_id are rows of their own that share
@@ -228,23 +228,56 @@ def links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) ->
     return dealt.mapInArrow(run, "fp long, to long")
 
 
+def spanning(edges: DataFrame) -> DataFrame:
+    """Links (fp, to), the greater name first, that connect what edges do: edges meet by their greater name, and a task keeps spanning ones, to
+    the least name that it reaches. Where a group's members have many links each, nearly every task reaches the same least one, so few more
+    than one for each member are left."""
+    ship(edges.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def reduced() -> list[np.ndarray]:
+            left, right = (np.concatenate(c) for c in zip(*held, strict=True))
+            distinct, number = np.unique(np.concatenate([left, right]), return_inverse=True)
+            root = _roots(len(distinct), number[: len(left)], number[len(left) :])
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            return [distinct[moved], distinct[root[moved]]]
+
+        held: list[list[np.ndarray]] = []
+        count = 0
+        for batch in batches:
+            held.append([np.array(c.to_numpy(zero_copy_only=False)) for c in batch.columns])
+            count += batch.num_rows
+            if count > FRONTIER:
+                held = [reduced()]
+                count = len(held[0][0])
+                if count > FRONTIER // 2:  # links of as many names: they go out, and those that follow are reduced anew
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["fp", "to"])
+                    held, count = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in reduced()], ["fp", "to"])
+
+    down = edges.where("fp <> to").select(F.greatest("fp", "to").alias("fp"), F.least("fp", "to").alias("to"))
+    return down.repartition("fp").mapInArrow(run, "fp long, to long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(fp, root) of all fingerprints that aren't their component's least, from links (fp, to): large-star and small-star steps until
-    nothing changes. Every step is a grouped minimum and a join, so a hub's neighbours spread over tasks."""
-    down = lambda a, b: [F.greatest(a, b).alias("fp"), F.least(a, b).alias("to")]
-    now = materialize(edges.where("fp <> to").select(*down("fp", "to")).distinct(), "links")
-    state = None
+    """(fp, root) of all fingerprints that aren't their component's least, from links (fp, to): large-star and small-star steps over spanning
+    links until nothing changes. A step joins each link to at most one minimum, so it makes as many rows as there are links, or twice as many."""
+    seen = lambda links: tuple(links.agg(F.count("*"), F.sum(F.xxhash64("fp", "to").cast("decimal(38,0)"))).first())
+    now = materialize(spanning(edges), "links")
+    state = seen(now)
     while True:
-        both = now.unionByName(now.select(F.col("to").alias("fp"), F.col("fp").alias("to")))
-        least = both.groupBy("fp").agg(F.least(F.min("to"), F.first("fp")).alias("low"))
-        large = both.join(least, "fp").where("to > fp").select(F.col("to").alias("fp"), F.col("low").alias("to")).where("fp <> to").distinct()
-        least = large.groupBy("fp").agg(F.min("to").alias("low"))
-        small = large.join(least, "fp").where("to <> low").select(*down("to", "low")).unionByName(least.select("fp", F.col("low").alias("to"))).distinct()
+        # large star: a node's greater neighbours go to the least of its others, or stay with it where it has none
+        least = now.groupBy(F.col("fp").alias("to")).agg(F.min("to").alias("low"))
+        large = now.join(least, "to", "left").select("fp", F.coalesce("low", "to").alias("to")).distinct()
+        # small star: a node and its lesser neighbours go to the least of these
+        found = large.withColumn("low", F.min("to").over(Window.partitionBy("fp")))
+        ends = F.when(F.col("to") == F.col("low"), F.array("fp")).otherwise(F.array("fp", "to"))
+        small = found.select(F.explode(ends).alias("fp"), F.col("low").alias("to")).distinct()
         now = materialize(small, "links")
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("fp", "to").cast("decimal(38,0)"))).first()
-        if tuple(found) == state:
+        last, state = state, seen(now)
+        if state == last:
             return now.select("fp", F.col("to").alias("root"))
-        state = tuple(found)
 
 
 def classes(fingerprints: DataFrame, doc: str = "doc_id", radius: int = RADIUS) -> DataFrame:

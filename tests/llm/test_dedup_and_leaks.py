@@ -252,6 +252,52 @@ def grouped(pairs):
     return {frozenset(g) for g in groups.values()}
 
 
+@pytest.fixture
+def many_tasks(spark):
+    """Sixteen tasks after each shuffle, of batches of 50 rows."""
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "50"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("members", [400, 800])
+def test_star_steps_get_about_a_link_for_each_member_of_a_group(spark, many_tasks, monkeypatch, members):
+    """Of a group whose members have 30 links each, as large groups of near copies have by their draws."""
+    rows, own = [], S.materialize
+
+    def counted(df, name):
+        out = own(df, name)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(S, "materialize", counted)
+    rng = np.random.default_rng(13)
+    links = [(1000 + k, int(h)) for k in range(members) for h in rng.choice(40, 30, replace=False)]
+    got = S.components(spark.createDataFrame(links, "fp long, to long")).collect()
+    assert sorted((r.fp, r.root) for r in got) == [(k, 0) for k in [*range(1, 40), *range(1000, 1000 + members)]]
+    assert rows and all(name == "links" and n <= 1.2 * (members + 40) for name, n in rows), rows
+
+
+@pytest.mark.parametrize("frontier", [1 << 20, 20])
+def test_components_of_random_links(spark, many_tasks, monkeypatch, frontier):
+    """Chains, stars with the greatest name in the middle, thickets, loops and repeated links, also where a task's links don't fit its frontier."""
+    monkeypatch.setattr(S, "FRONTIER", frontier)
+    rng = np.random.default_rng(17)
+    names = [int(n) for n in rng.integers(-(2**63), 2**63 - 1, 700)]
+    hub = max(names[:200])
+    pairs = list(zip(names[200:300], names[201:301], strict=True)) + [(hub, n) for n in names[:200] if n != hub]
+    pairs += [(names[a], names[b]) for a, b in rng.integers(310, 400, (1500, 2))] + [(names[a], names[b]) for a, b in rng.integers(400, 700, (160, 2))] + [(names[k], names[k]) for k in (305, 405)]
+    pairs += pairs[::3]
+    got = S.components(spark.createDataFrame(pairs, "fp long, to long").repartition(5)).collect()
+    want = {n: min(group) for group in grouped(p for p in pairs if p[0] != p[1]) for n in group}
+    assert sorted((r.fp, r.root) for r in got) == sorted((n, root) for n, root in want.items() if n != root)
+    assert S.components(spark.createDataFrame([], "fp long, to long")).count() == 0
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 4), st.sampled_from([5, 20, 74]))
 def test_tree_links_of_wide_fingerprints(seed, n, shards, within):
