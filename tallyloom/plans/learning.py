@@ -11,8 +11,9 @@ from tallyloom.operators import segment as G
 from tallyloom.operators import stats as S
 from tallyloom.operators import univariate as U
 from tallyloom.operators.panel import fraction_split
-from tallyloom.plans.panels import dense, rounded, split
+from tallyloom.plans.panels import daily, dense, rounded, split
 from tallyloom.plans.registry import query
+from tallyloom.session import materialize
 from tallyloom.sources.retail import table
 
 
@@ -74,9 +75,10 @@ def two_stage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def global_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recursive forecasts by one weighted regression over all series."""
-    train, test = split(spark, sf_dir)
-    model = L.fit_global(L.weight(L.training_rows(train)), weight="weight")
+    """Recursive forecasts by one weighted regression over all series. Lines are joined and summed once, and the rows of the fit are a table, as the fit reads
+    them several times."""
+    train, test = split(spark, sf_dir, materialize(daily(spark, sf_dir), "daily"))
+    model = L.fit_global(materialize(L.weight(L.training_rows(train)), "rows"), weight="weight")
     return L.recursive(train, test, model, raw_state=True)
 
 

@@ -22,9 +22,9 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.zero_panel(daily(spark, sf_dir))
 
 
-def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Training and test panel: the last 56 days are the test."""
-    panel = dense(spark, sf_dir)
+def split(spark: SparkSession, sf_dir: str, sums: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Training and test panel: the last 56 days are the test. sums: the daily sums, where they are written already."""
+    panel = dense(spark, sf_dir) if sums is None else P.zero_panel(sums)
     last = F.broadcast(panel.agg(F.date_sub(F.max("date"), TEST_DAYS - 1).alias("test_start")))  # one row
     marked = panel.crossJoin(last)
     return marked.where("date < test_start").drop("test_start"), marked.where("date >= test_start").drop("test_start")
