@@ -133,8 +133,9 @@ def fuzzy_ranks(queries: DataFrame, products: DataFrame, limit: int = 5, key: st
 
 def loosely(queries: DataFrame, products: DataFrame, key: str = "product_key") -> DataFrame:
     """query, status, keys and nearest by the fuzzy ranking: resolved if its best is good and clear, ambiguous if good, else not found, with
-    the closest names."""
-    ranked = fuzzy_ranks(queries, products, key=key).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score", key))), lambda s: F.struct(s["score"].alias("s"), s[key].alias("k"))).alias("r"))
+    the closest names. Only queries that anything matches well are ranked."""
+    hopeful = names.reaching(asked_names(queries), products, MATCH, key)
+    ranked = names.ranked(hopeful, products, key=key).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score", key))), lambda s: F.struct(s["score"].alias("s"), s[key].alias("k"))).alias("r"))
     top, second = F.get("r", F.lit(0))["s"], F.get("r", F.lit(1))["s"]
     status = F.when(F.col("r").isNull() | (top < MATCH), "not_found").when(second.isNull() | (top - second >= MARGIN), "resolved").otherwise("ambiguous")
     rows = materialize(queries.join(ranked, "query", "left").select("query", status.alias("status"), F.transform(F.coalesce("r", F.array().cast("array<struct<s:double,k:string>>")), lambda x: x["k"]).alias("k")), "loosely")

@@ -11,7 +11,7 @@ from tallyloom.functions.text import normalize_text, product_key
 from tallyloom.operators import learned as L
 from tallyloom.operators import serving as V
 from tallyloom.operators import univariate as U
-from tallyloom.operators.panel import future_grid
+from tallyloom.operators.panel import daily_sum, future_grid
 from tallyloom.plans.panels import dense, split
 from tallyloom.plans.registry import query
 from tallyloom.session import fresh_path, materialize
@@ -25,12 +25,12 @@ _IDS = """ids AS (SELECT description AS sku, arg_min(stock_code, rn) AS product_
 _CANON = f"""{_IDS}, canon AS (SELECT {_KEY} AS product_key, sku AS product_family_name, product_id, CAST(1 AS INTEGER) AS cluster, 'naive7' AS model_id, 'Weekly pattern' AS model_name, date AS forecast_date, pred AS forecast_value, CAST(NULL AS DOUBLE) AS p_sale, '{BUILT}' AS generated_at, y AS actual_value FROM naive JOIN ids USING (sku))"""
 
 
-def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.product_metadata(retail_tx(spark, sf_dir).withColumn("product_family_name", F.col("description")))
+def metadata(spark: SparkSession, sf_dir: str, tx: DataFrame | None = None) -> DataFrame:
+    return V.product_metadata((retail_tx(spark, sf_dir) if tx is None else tx).withColumn("product_family_name", F.col("description")))
 
 
-def forecasts(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
-    pred = U.naive7(*split(spark, sf_dir)).withColumnRenamed("sku", "product_family_name")
+def forecasts(spark: SparkSession, sf_dir: str, known: DataFrame | None = None, sums: DataFrame | None = None) -> DataFrame:
+    pred = U.naive7(*split(spark, sf_dir, sums)).withColumnRenamed("sku", "product_family_name")
     return V.canonical(pred, 1, BUILT, known or metadata(spark, sf_dir), NAIVE)
 
 
@@ -40,8 +40,10 @@ def canonical_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = materialize(metadata(spark, sf_dir), "metadata")
-    return V.registry(forecasts(spark, sf_dir, known), known)
+    """The registry. Lines are joined once and written with the few columns that ids, aliases and forecasts come of."""
+    tx = materialize(retail_tx(spark, sf_dir).select("invoice", "stock_code", "description", "date", "sales_amount"), "tx")
+    known, sums = materialize(metadata(spark, sf_dir, tx), "metadata"), materialize(daily_sum(tx, "description"), "daily")
+    return V.registry(forecasts(spark, sf_dir, known, sums), known)
 
 
 @query(f"WITH {_CANON} SELECT product_key, product_family_name, {_NORM.format('product_family_name')} AS normalized_product_name, product_id, product_id AS product_id_norm, cluster, model_id, model_name, generated_at FROM canon GROUP BY ALL", "naive")
