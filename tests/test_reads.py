@@ -30,7 +30,7 @@ def collected(spark, name, small):
     return lambda: catalog.QUERIES[name](spark, small).collect()
 
 
-@pytest.mark.parametrize("name", ["global_trees", "resolve_full"])
+@pytest.mark.parametrize("name", ["global_trees", "resolve_full", "answer_requests"])
 def test_lines_are_read_once(spark, small, name):
     assert scans(spark, collected(spark, name, small), "l_orderkey") == 1
 

@@ -71,6 +71,19 @@ def test_only_queries_that_match_are_ranked(spark, known, monkeypatch):
     assert {c for c in codes if got[c].status != "not_found"} == want and got["red lampe"]["keys"] == ["p1"]
 
 
+def test_answers_rank_what_no_other_step_takes(spark, known, monkeypatch):
+    listed = spark.createDataFrame([("OLD CLOCK", "OLD CLOCK", "", [], "dropped")], "product_family_name string, normalized_product_name string, product_id_norm string, search_aliases_norm array<string>, reason_type string")
+    asked = [*(str(k) for k in range(7_000_000, 7_000_300)), "4711021", "the old clock", "red lampe", "blue chairs"]
+    given, real = [], N.ranked
+    monkeypatch.setattr(N, "ranked", lambda queries, *a, **b: given.extend(r["query"] for r in queries.collect()) or real(queries, *a, **b))
+    got = {r["query"]: (r.status, r["keys"], r.nearest) for r in V.answer(spark.createDataFrame([(q,) for q in asked], "query string"), known, listed).collect()}
+    names = [[n, i, *a] for _, n, i, a in known.collect()]
+    codes = {c for c in asked[:300] if max(score(c, own) for own in names) >= V.MATCH}
+    assert set(given) == {"blue chairs", "red lampe"} | codes and len(codes) == 1 and len(got) == len(asked)
+    assert got["4711021"] == ("resolved", ["p1"], []) and got["the old clock"] == ("unavailable", ["OLD CLOCK"], []) and got["blue chairs"][1] == ["p2"]
+    assert got["7000000"] == ("not_found", [], [])
+
+
 def test_each_pair_of_block_and_part_is_a_task(spark):
     many = spark.createDataFrame([(f"k{k}", f"NAME {k}", str(k), []) for k in range(40)], PRODUCT)
     asked = V.asked_names(spark.createDataFrame([(f"name {k}x",) for k in range(40)], "query string"))
